@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import catalog
 from trendloom.operators.ranking import dedup_by_key, with_position
+from trendloom.session import settle
 from trendloom.schemas import DISTRIBUTED, KEYS, PREDICTED, TRAINED
 
 
@@ -165,20 +166,20 @@ def import_papers(
 
     A known paper keeps its stored text but gains categories it newly lists; links are unique.
     """
+    papers = settle(papers)  # cleaned once, read for papers, categories and links
     added = new_rows(
         paper, papers.drop("categories"), KEYS["paper"],
         [F.asc("update_date"), F.asc("title"), F.asc("abstract")],
     )
-    all_papers = paper.unionByName(
-        assign_ids(paper, added, [F.asc("source_id")]), allowMissingColumns=True
-    )
+    numbered = assign_ids(paper, added.select("source_id"), [F.asc("source_id")])
+    all_papers = paper.unionByName(added.join(numbered, "source_id"), allowMissingColumns=True)
     names = catalog.distinct_categories(papers).withColumn(
         "paper_count", F.lit(0).cast("bigint")
     )
     fresh = new_rows(category, names, KEYS["category"])
     all_categories = category.unionByName(assign_ids(category, fresh, [F.asc("name")]))
     listed = papers.select("source_id", "categories").join(
-        all_papers.select("id", "source_id"), "source_id"
+        paper.select("id", "source_id").unionByName(numbered.select("id", "source_id")), "source_id"
     )
     links = catalog.link_paper_categories(listed, all_categories)
     all_links = insert_or_ignore(

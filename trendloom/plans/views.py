@@ -230,14 +230,14 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 view("snapshot", """
 SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, lang || ' ' || source AS title, ' ' || text AS abstract,
        lang || '.' || source || ' ' || source || ' ' || lang || ' x.' || lang AS categories,
-       CASE WHEN n_chars % 97 = 0 THEN NULL ELSE CAST('1998-01-01' AS DATE) + CAST(doc_id % 5000 AS INT) END AS creation_date,
+       CASE WHEN n_chars % 97 = 0 THEN NULL ELSE CAST('1998-01-01' AS DATE) + CAST(doc_id * 37 % 5000 AS INT) END AS creation_date,
        CAST('2012-01-01' AS DATE) + CAST(n_chars % 700 AS INT) AS update_date
 FROM documents""")
 
 
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as metadata records; dates are made up from their columns."""
-    created = F.date_add(F.lit("1998-01-01").cast("date"), (F.col("doc_id") % 5000).cast("int"))
+    created = F.date_add(F.lit("1998-01-01").cast("date"), (F.col("doc_id") * 37 % 5000).cast("int"))
     stamp = F.concat(F.date_format(created, "E, d MMM yyyy"), F.lit(" 19:18:42 GMT"))
     undated = F.col("n_chars") % 97 == 0
     later = F.struct(F.lit("v2").alias("version"), F.lit("Mon, 2 Apr 2012 19:18:42 GMT").alias("created"))
