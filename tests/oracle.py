@@ -32,7 +32,7 @@ def plain(value):
 
 
 def key(row):
-    return tuple((v is not None, str(type(v)), v) if not isinstance(v, tuple) else (True, "t", str(v)) for v in row)
+    return tuple((v is not None, str(v) if isinstance(v, (tuple, dict)) else v) for v in row)
 
 
 def table(columns, rows):
@@ -59,7 +59,7 @@ def compare(spark, sf_dir: str, name: str, db=None) -> tuple[str, int, float, fl
     if len(got[1]) != len(want[1]):
         return f"rows {len(got[1])} != {len(want[1])}", len(got[1]), mine, theirs
     for a, b in zip(got[1], want[1]):
-        if a != b or [type(x) for x in a] != [type(x) for x in b]:
+        if a != b or any(type(x) is not type(y) for x, y in zip(a, b)):
             return f"{a} != {b}"[:600], len(got[1]), mine, theirs
     return "ok", len(got[1]), mine, theirs
 

@@ -54,9 +54,9 @@ def norm(vector: Column) -> Column:
 def normalize_vector(vector: Column) -> Column:
     """The vector scaled to length one; null for a vector without a direction."""
     length = norm(vector)
-    return F.when(
-        length > 0, F.transform(vector, lambda x: x.cast("double") / length)
-    )
+    # the length goes in as a list: inside the lambda it would be worked out per component
+    lengths = F.array_repeat(length, F.size(vector))
+    return F.when(length > 0, F.zip_with(vector, lengths, lambda x, n: x.cast("double") / n))
 
 
 def quantize_bits(vector: Column) -> Column:

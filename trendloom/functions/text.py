@@ -121,18 +121,19 @@ def remove_stop_words(tokens: Column, stop_words: Sequence[str] = STOP_WORDS) ->
 
 
 def ngrams(tokens: Column, start: int = 1, end: int = 2) -> Column:
-    """All runs of ``start`` to ``end`` neighbouring tokens, joined by a space."""
-    runs = []
-    for size in range(start, end + 1):
-        if size == 1:
-            runs.append(tokens)
-            continue
-        positions = F.when(
-            F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        runs.append(
-            F.transform(positions, lambda i, n=size: F.array_join(F.slice(tokens, i, n), " "))
-        )
+    """All runs of ``start`` to ``end`` neighbouring tokens, joined by a space.
+
+    Longer runs come from pairing the list with itself shifted: no lambda holds ``tokens``, which
+    would be worked out anew for every element.
+    """
+    runs, run = [], tokens
+    for size in range(1, end + 1):
+        if size > 1:
+            shifted = F.slice(tokens, size, F.size(tokens))
+            paired = F.zip_with(run, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+            run = F.filter(paired, lambda x: x.isNotNull())
+        if size >= start:
+            runs.append(run)
     return F.concat(*runs)
 
 

@@ -210,11 +210,13 @@ def maximal_merges(tree: DataFrame, distance: float) -> DataFrame:
     return close.join(inner, "parent_id", "left_anti").select(*tree.columns)
 
 
-def _windows(column: str, size: int) -> Column:
+def _windows(tokens: Column, size: int) -> Column:
     """All runs of ``size`` neighbouring tokens; a shorter list is one run."""
-    tokens = F.col(column)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (size - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.slice(tokens, i, size))
+    shifted = [F.slice(tokens, i, F.size(tokens)).alias(f"t{i}") for i in range(1, size + 1)]
+    runs = F.slice(F.arrays_zip(*shifted), 1, F.greatest(F.size(tokens) - (size - 1), F.lit(1)))
+    return F.transform(
+        runs, lambda run: F.array_compact(F.array(*(run[f"t{i}"] for i in range(1, size + 1))))
+    )
 
 
 def _tallied(terms: Column) -> Column:
@@ -260,8 +262,9 @@ def approximate_distribution(
     run_terms = text.ngrams(text.remove_stop_words(F.col("part"), stop_words), start, end)
     runs = (
         docs.select("doc_id", text.words(F.col("text")).alias("words"))
-        .select("doc_id", F.posexplode(_windows("words", window)).alias("run", "part"))
-        .select("doc_id", "run", _tallied(run_terms).alias("terms"))
+        .select("doc_id", F.posexplode(_windows(F.col("words"), window)).alias("run", "part"))
+        .select("doc_id", "run", run_terms.alias("terms"))
+        .select("doc_id", "run", _tallied(F.col("terms")).alias("terms"))
     )
     chosen = (
         runs.withColumn("term", F.explode(F.col("terms.term")))

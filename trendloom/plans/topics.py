@@ -144,8 +144,9 @@ def topic_sizes(spark, sf):
     return ops.topic_sizes(views.docs(spark, sf))
 
 
-@query("""SELECT topic_id, size, topic_id || '_' || string_agg(term, '_' ORDER BY rank) FILTER (rank <= 4) AS name,
-                 string_agg(term, ',' ORDER BY rank) AS words FROM sizes JOIN top_terms USING (topic_id) GROUP BY ALL""", "sizes top_terms")
+@query("""SELECT s.topic_id, s.size, s.topic_id || '_' || first4 AS name, words FROM sizes s JOIN (
+            SELECT topic_id, string_agg(term, '_' ORDER BY rank) FILTER (rank <= 4) AS first4, string_agg(term, ',' ORDER BY rank) AS words
+            FROM top_terms GROUP BY topic_id) t ON t.topic_id = s.topic_id""", "sizes top_terms")
 def topic_info(spark, sf):
     docs = views.docs(spark, sf)
     return ops.topic_info(docs, _weights(spark, sf)).withColumn("words", F.array_join("words", ","))

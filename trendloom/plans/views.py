@@ -16,6 +16,12 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that came in fewer pieces than there are cores, as one small file does."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 view("paper", """
 SELECT o_orderkey AS id, 'p' || CAST(o_orderkey AS VARCHAR) AS source_id,
        CAST(year(o_orderdate) AS INT) AS creation_year, CAST(month(o_orderdate) AS INT) AS creation_month,
@@ -218,7 +224,7 @@ FROM documents""")
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their source as topic; short ones are outliers."""
-    return load(spark, sf, "documents").select(
+    return spread(load(spark, sf, "documents")).select(
         "doc_id",
         F.when(F.col("n_chars") < 300, -1)
         .otherwise(F.substring("source", 4, 9).cast("int"))
@@ -242,7 +248,7 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
     undated = F.col("n_chars") % 97 == 0
     later = F.struct(F.lit("v2").alias("version"), F.lit("Mon, 2 Apr 2012 19:18:42 GMT").alias("created"))
     first = F.struct(F.when(undated, "v3").otherwise("v1").alias("version"), stamp.alias("created"))
-    return load(spark, sf, "documents").select(
+    return spread(load(spark, sf, "documents")).select(
         F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"),
         F.concat_ws(" ", "lang", "source").alias("title"),
         F.concat(F.lit(" "), "text").alias("abstract"),
