@@ -50,8 +50,8 @@ def topic_hierarchy(topics: DataFrame, similarity: DataFrame) -> DataFrame:
         inner = F.col("wa") / F.col("na") ** 2 + F.col("wb") / F.col("nb") ** 2
         square = (2 * F.col("e") - 2 * F.col("na") * F.col("nb") * inner) / (F.col("na") + F.col("nb"))
         # one order for all pairs, so that at least the closest pair is mutual
-        close = F.struct(F.round(square, 12).alias("d"), "a", "b", "e")
-        each = ends.select(F.explode(F.array("a", "b")).alias("node"), close.alias("pair"))
+        close = ends.withColumn("d", F.round(square, 12)).select(F.struct("d", "a", "b", "e").alias("pair"))
+        each = close.select(F.explode(F.array("pair.a", "pair.b")).alias("node"), "pair")
         nearest = each.groupBy("node").agg(F.min("pair").alias("pair"))
         mutual = nearest.groupBy("pair").agg(F.count("*").alias("votes")).filter("votes = 2").select("pair.*")
         # one row per merge of the round, fewer than topics

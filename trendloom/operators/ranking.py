@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.session import settle
+from trendloom.session import settle_in_order
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
@@ -17,7 +17,7 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
     a row's position is its place in its partition plus the sizes of the partitions before it.
     No task sees more than one range partition.
     """
-    ordered = settle(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    ordered = settle_in_order(df.repartitionByRange(*order).sortWithinPartitions(*order))
     placed = ordered.select(
         "*",
         F.spark_partition_id().alias("_part"),
@@ -46,15 +46,17 @@ def rank_in_groups(
     )
 
 
-def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The first ``n`` rows of each group.
+def first_per_group(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1, name: str | None = None
+) -> DataFrame:
+    """The first ``n`` rows of each group, numbered from 1 in ``name`` if given.
 
     The constant bound lets Spark cut each group to ``n`` rows per map task before the shuffle.
     """
     window = Window.partitionBy(*group).orderBy(*order)
-    return (
-        df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")
-    )
+    rank = name or "_rank"
+    kept = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    return kept if name else kept.drop(rank)
 
 
 def dedup_by_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

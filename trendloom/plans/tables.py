@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators import catalog, ingest, mutations
 from trendloom.plans import cleaning, monthly, views  # noqa: F401  (their views are used)
 from trendloom.plans.registry import query, view
-from trendloom.session import shared_dir
+from trendloom.session import work_dir
 from trendloom.sources import records, tables
 
 
@@ -22,11 +20,6 @@ JOIN paper_topics p ON p.paper_id = c.paper_id JOIN topic tp ON tp.id = p.topic_
 GROUP BY c.topic_id, p.topic_id""", "topic")
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT id, min(probability) AS probability FROM (
             SELECT paper_id AS id, CASE WHEN transformed = 0 THEN probability END AS probability FROM m0_links WHERE transformed = 0
             UNION ALL SELECT paper_id, max(probability) FROM m0_links GROUP BY paper_id

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    The result survives the loss of executors and keeps its partitions and row order.
+    Cuts the lineage, survives the loss of executors, and gives later plans the real size (so
+    that small sides broadcast) and column pruning.
     """
+    spark = df.sparkSession
+    path = work_dir(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_in_order(df: DataFrame) -> DataFrame:
+    """The same by a checkpoint, which keeps partitions and the order of rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
