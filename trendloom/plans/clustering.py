@@ -1 +1,73 @@
-"""..."""
+"""Queries that train, apply and merge whole models over documents with embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendloom.operators import clusters, neighbours
+from trendloom.operators import topics as topic_ops
+from trendloom.plans import training, views
+from trendloom.plans.registry import query
+from trendloom.session import settle, work_dir
+from trendloom.sources import tables
+
+SETTINGS = training.Settings(neighbours=6, min_samples=3, min_cluster_size=4, eps=0.62)
+
+
+def _papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that have an embedding, as papers."""
+    vectors = views.load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    texts = views.load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
+    return settle(texts.join(vectors, "id"))
+
+
+def _empty(spark: SparkSession, *names: str) -> list[DataFrame]:
+    none = work_dir(spark, "none")
+    return [tables.read_table(spark, none, name) for name in names]
+
+
+@query()
+def train_model(spark, sf):
+    """Topics of a model trained on all documents with an embedding."""
+    store = _empty(spark, "topic", "paper_topics", "topic_stats")
+    topic, _, _ = training.train_model(*store, _papers(spark, sf), "m", 0, SETTINGS)
+    return topic.select("id", "hierarchy", "model", "orig_id", "name", "llm_label", "paper_count")
+
+
+@query()
+def transform_papers(spark, sf):
+    """Two thirds of the classes train a model that the rest is assigned to."""
+    papers = _papers(spark, sf)
+    labels = views.load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    labelled = papers.join(labels, "id")
+    store = _empty(spark, "topic", "paper_topics", "topic_stats")
+    topic, links, _ = training.train_model(*store, labelled.filter("label < 7").drop("label"), "m", 0, SETTINGS)
+    topic, links = settle(topic), settle(links)
+    _, links = training.transform_papers(papers, topic, links, "m", SETTINGS)
+    return links.select("paper_id", "topic_id", F.round("probability", 9).alias("probability"), "transformed")
+
+
+@query()
+def reduce_topics(spark, sf):
+    docs = views.docs(spark, sf)
+    return training.reduce_topics(docs, settle(topic_ops.term_counts(docs)), 0.6)
+
+
+@query()
+def distribute_papers(spark, sf):
+    """Outlier documents go to the topics of the others by their words."""
+    docs = settle(views.docs(spark, sf))
+    weights = settle(topic_ops.c_tf_idf(topic_ops.term_counts(docs)))
+    topic = topic_ops.topic_sizes(docs).select(
+        (F.col("topic_id") + 2).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("parent_id"),
+        F.lit(0).alias("hierarchy"), F.lit("m").alias("model"), F.col("topic_id").alias("orig_id"),
+        F.lit("").alias("name"), F.lit("").alias("llm_label"), F.lit(0).cast("bigint").alias("paper_count"),
+    )
+    links = docs.select(
+        F.col("doc_id").alias("paper_id"), (F.col("topic_id") + 2).cast("bigint").alias("topic_id"),
+        F.lit(1.0).alias("probability"), F.lit(0).alias("transformed"),
+    )
+    papers = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
+    _, links = training.distribute_papers(papers, topic, links, weights, "m")
+    return links.select("paper_id", "topic_id", F.round("probability", 9).alias("probability"), "transformed")
