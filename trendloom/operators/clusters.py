@@ -161,25 +161,26 @@ def validity_score(clusters: DataFrame, forest: DataFrame, keys: Sequence[str] =
     totals = sizes.groupBy(*keys).agg(
         F.sum("_size").alias("_total"), F.count_if(F.col("cluster") != OUTLIER).alias("clusters")
     )
+    # a constant key stands in where there is one run
+    run = keys or ["_run"]
+    if not keys:
+        sizes, inner, outer, totals, span = (f.withColumn("_run", F.lit(1)) for f in (sizes, inner, outer, totals, span))
     rows = (
         sizes.filter(F.col("cluster") != OUTLIER)
-        .join(inner, [*keys, "cluster"], "left")
-        .join(outer, [*keys, "cluster"], "left")
+        .join(inner, [*run, "cluster"], "left")
+        .join(outer, [*run, "cluster"], "left")
+        .join(totals, run)
+        .join(span, run, "left")
     )
-    # every run has one row in totals, and in span if it has any edge
-    if keys:
-        rows = rows.join(totals, keys).join(span, keys, "left")
-    else:
-        rows = rows.withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k").join(
-            span.withColumn("_k", F.lit(1)), "_k", "left"
-        ).drop("_k")
     # a cluster without an edge to another one lies far away: twice the heaviest edge
     far = 2 * F.when(F.col("clusters") > 1, F.col("_max")).otherwise(F.coalesce("_outlier", "_max"))
     sparse = F.coalesce("_inner", F.lit(0.0))
     apart = F.coalesce("_outer", far)
     worth = F.when(F.greatest(apart, sparse) > 0, (apart - sparse) / F.greatest(apart, sparse)).otherwise(0.0)
-    return rows.groupBy(*keys).agg(
-        F.first("clusters").alias("clusters"), F.sum(F.col("_size") * worth / F.col("_total")).alias("score")
+    summed = rows.groupBy(*run).agg(F.sum(F.col("_size") * worth / F.col("_total")).alias("_score"))
+    # a run without clusters scores 0
+    return totals.join(summed, run, "left").select(
+        *keys, "clusters", F.coalesce("_score", F.lit(0.0)).alias("score")
     )
 
 

@@ -10,6 +10,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,23 +212,94 @@ def maximal_merges(tree: DataFrame, distance: float) -> DataFrame:
     return close.join(inner, "parent_id", "left_anti").select(*tree.columns)
 
 
-def _windows(tokens: Column, size: int) -> Column:
-    """All runs of ``size`` neighbouring tokens; a shorter list is one run."""
-    shifted = [F.slice(tokens, i, F.size(tokens)).alias(f"t{i}") for i in range(1, size + 1)]
-    runs = F.slice(F.arrays_zip(*shifted), 1, F.greatest(F.size(tokens) - (size - 1), F.lit(1)))
-    return F.transform(
-        runs, lambda run: F.array_compact(F.array(*(run[f"t{i}"] for i in range(1, size + 1))))
-    )
-
+def _occurrences(words: Column, window: int, start: int, end: int, stop_words: Sequence[str]) -> Column:
+    """Terms of a text with their first and last word, as far as a run of ``window`` words holds them.
 
-def _tallied(terms: Column) -> Column:
-    """Distinct terms of a short list with their counts."""
-    return F.transform(
-        F.array_distinct(terms),
-        lambda t: F.struct(
-            t.alias("term"), F.size(F.filter(terms, lambda x: x == t)).alias("tf")
-        ),
+    Stop words take a place in the text but in no term.
+    """
+    placed = F.filter(
+        F.transform(words, lambda w, i: F.struct(i.alias("p"), i.alias("q"), w.alias("term"))),
+        lambda w: ~w["term"].isin(list(stop_words)),
     )
+    found, run = [], placed
+    for size in range(1, end + 1):
+        if size > 1:
+            longer = F.zip_with(
+                run,
+                F.slice(placed, size, F.size(placed)),
+                lambda a, b: F.struct(
+                    a["p"].alias("p"), b["q"].alias("q"), F.concat(a["term"], F.lit(" "), b["term"]).alias("term")
+                ),
+            )
+            run = F.filter(longer, lambda x: x["term"].isNotNull())
+        if size >= start:
+            found.append(F.filter(run, lambda x: x["q"] - x["p"] < window) if size > 1 else run)
+    return F.concat(*found)
+
+
+def _run_sums(
+    p: np.ndarray, q: np.ndarray, term: np.ndarray, idf: np.ndarray, sizes: np.ndarray,
+    column: np.ndarray, share: np.ndarray, runs: int, topics: int, window: int, least: float,
+) -> np.ndarray:
+    """Similarities of all runs of a document to each topic, summed from ``least`` on.
+
+    Runs are taken in slices, so a long document needs no more memory than a short one.
+    """
+    total = np.zeros(topics)
+    weight = np.zeros(term.max() + 1)
+    weight[term] = idf
+    step = max(1, (1 << 21) // topics)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for low in range(0, runs, step):
+        high = min(low + step, runs)
+        # rows are in order of p; a run from r holds terms that begin at r … r + window - 1
+        a, b = np.searchsorted(p, [low, high + window - 1])
+        part, flat = slice(a, b), slice(ends[a], ends[b])
+        dots = np.zeros((high - low) * topics)
+        keys = []
+        for back in range(window):
+            r = p[part] - back
+            held = (r >= low) & (r < high) & (q[part] - r < window)
+            spread = np.repeat(held, sizes[part])
+            cell = (np.repeat(r, sizes[part])[spread] - low) * topics + column[flat][spread]
+            dots += np.bincount(cell, weights=share[flat][spread], minlength=len(dots))
+            keys.append((r[held] - low).astype(np.int64) * len(weight) + term[part][held])
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        run, word = key // len(weight), key % len(weight)
+        length = np.sqrt(np.bincount(run, weights=(weight[word] * count) ** 2, minlength=high - low))
+        similar = dots.reshape(high - low, topics)[length > 0] / length[length > 0, None]
+        total += np.where(similar >= least, similar, 0).sum(axis=0)
+    return total
+
+
+def _mixer(window: int, least: float):
+    """For the rows of one document: its mix of topics."""
+
+    def mix(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("p")
+        lists, values = rows["topics"].combine_chunks(), rows["units"].combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy()
+        names, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        share = np.zeros(0)
+        if len(names):
+            idf = rows["idf"].to_numpy()
+            term = rows["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+            share = _run_sums(
+                rows["p"].to_numpy(), rows["q"].to_numpy(), term, idf, sizes, column,
+                np.repeat(idf, sizes) * values.flatten().to_numpy(),
+                max(rows["n"][0].as_py() - window + 1, 1), len(names), window, least,
+            )
+        kept = np.nonzero(share)[0]
+        doc = rows["doc_id"].slice(0, 1).to_pylist() * len(kept)
+        return pa.table(
+            {
+                "doc_id": pa.array(doc, rows.schema.field("doc_id").type),
+                "topic_id": pa.array(names[kept], lists.type.value_type),
+                "probability": pa.array(share[kept] / share.sum(), pa.float64()),
+            }
+        )
+
+    return mix
 
 
 def approximate_distribution(
@@ -241,72 +314,54 @@ def approximate_distribution(
     """(doc_id, topic_id, probability): the mix of topics in each document, adding up to 1.
 
     Every run of ``window`` words is compared with every topic by cosine; similarities below the
-    minimum count as 0, the others are summed per topic. Exact, yet not every run meets every
+    minimum count as 0, the others are summed per topic. Exact, yet not every document meets every
     topic: a run of at most m terms reaches the minimum only if it holds a term of weight
     min / √m or more in the topic's unit vector, and a topic has at most m / min² such terms.
-    These strong terms choose the topics for which a run is worked out.
+    These strong terms choose the topics for which a document is worked out.
+
+    Terms are looked up once per occurrence by a join; the runs of a document are then added up
+    where its terms meet, in one task per document.
     """
     most = sum(max(window - n + 1, 0) for n in range(start, end + 1))
     floor = min_window_similarity / most**0.5
     unit = settle(_unit(weights))
     # per topic at most most / min_window_similarity² rows; the margin covers rounding
-    strong = unit.filter(F.col("unit") >= floor * (1 - 1e-9)).groupBy("term").agg(
-        F.collect_set("topic_id").alias("strong")
-    )
+    strong = unit.filter(F.col("unit") >= floor * (1 - 1e-9)).select("term", "topic_id")
     proper = unit.groupBy("term").agg(
         F.collect_list(F.struct("topic_id", "unit")).alias("entries")
     )
     # a term that only outliers hold has no entries, yet counts in the length of a run
     entries = weights.groupBy("term").agg(F.first("idf").alias("idf")).join(proper, "term", "left")
 
-    run_terms = text.ngrams(text.remove_stop_words(F.col("part"), stop_words), start, end)
-    runs = (
+    terms = settle(
         docs.select("doc_id", text.words(F.col("text")).alias("words"))
-        .select("doc_id", F.posexplode(_windows(F.col("words"), window)).alias("run", "part"))
-        .select("doc_id", "run", run_terms.alias("terms"))
-        .select("doc_id", "run", _tallied(F.col("terms")).alias("terms"))
+        .select(
+            "doc_id", F.size("words").alias("n"),
+            F.inline(_occurrences(F.col("words"), window, start, end, stop_words)),
+        )
     )
     chosen = (
-        runs.withColumn("term", F.explode(F.col("terms.term")))
-        .join(strong, "term")
-        .groupBy("doc_id", "run")
-        .agg(
-            F.first("terms").alias("terms"),
-            F.flatten(F.collect_list("strong")).alias("candidates"),
+        terms.select("doc_id", "term").join(strong, "term").groupBy("doc_id").agg(
+            F.collect_set("topic_id").alias("candidates")
         )
     )
-    scaled = F.col("tf") * F.col("idf")
+    candidate = F.filter(
+        F.coalesce("entries", F.array().cast(entries.schema["entries"].dataType)),
+        lambda e: F.array_contains("candidates", e["topic_id"]),
+    )
     parts = (
-        chosen.select("doc_id", "run", "candidates", F.inline("terms"))
+        terms.join(chosen, "doc_id")
         .join(entries, "term")
+        .select("doc_id", "n", "p", "q", "term", "idf", candidate.alias("entries"))
         .select(
-            "doc_id",
-            "run",
-            scaled.alias("x"),
-            F.transform(
-                F.filter("entries", lambda e: F.array_contains("candidates", e["topic_id"])),
-                lambda e: F.struct(e["topic_id"].alias("topic_id"), (e["unit"] * scaled).alias("y")),
-            ).alias("shares"),
+            "doc_id", "n", "p", "q", "term", "idf",
+            F.col("entries.topic_id").alias("topics"), F.col("entries.unit").alias("units"),
         )
     )
-    # the rows of a run stay where this grouping put them, so the next one moves nothing
-    per_run = parts.groupBy("doc_id", "run").agg(
-        F.sqrt(F.sum(F.col("x") ** 2)).alias("length"),
-        F.flatten(F.collect_list("shares")).alias("shares"),
-    )
-    similar = (
-        per_run.select("doc_id", "run", "length", F.inline("shares"))
-        .groupBy("doc_id", "run", "topic_id")
-        .agg((F.sum("y") / F.first("length")).alias("similarity"))
-        .filter(F.col("similarity") >= min_window_similarity)
-    )
-    # a document has at most one row per topic from here on
-    of_doc = Window.partitionBy("doc_id")
-    return (
-        similar.groupBy("doc_id", "topic_id")
-        .agg(F.sum("similarity").alias("sum"))
-        .withColumn("probability", F.col("sum") / F.sum("sum").over(of_doc))
-        .drop("sum")
+    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("doc_id", docs), ("topic_id", unit))}
+    return parts.groupBy("doc_id").applyInArrow(
+        _mixer(window, min_window_similarity),
+        f"doc_id {kinds['doc_id']}, topic_id {kinds['topic_id']}, probability double",
     )
 
 
