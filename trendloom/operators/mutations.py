@@ -159,30 +159,48 @@ def delete_model(
     )
 
 
-def import_papers(
+def paper_additions(
     paper: DataFrame, category: DataFrame, paper_categories: DataFrame, papers: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Store imported papers (see ``ingest.imported_papers``) with their categories.
+    """What imported papers (see ``ingest.imported_papers``) add: papers, categories, links.
 
-    A known paper keeps its stored text but gains categories it newly lists; links are unique.
+    New papers and new links are rows to append; the categories are the whole new version, those
+    the import names counted anew, so that a run repeated after a failure ends up the same. Of
+    the stored papers only keys and ids are read. A known paper keeps its stored text but gains
+    categories it newly lists; links are unique.
     """
     papers = settle(papers)  # cleaned once, read for papers, categories and links
-    added = new_rows(
-        paper, papers.drop("categories"), KEYS["paper"],
-        [F.asc("update_date"), F.asc("title"), F.asc("abstract")],
-    )
-    numbered = assign_ids(paper, added.select("source_id"), [F.asc("source_id")])
-    all_papers = paper.unionByName(added.join(numbered, "source_id"), allowMissingColumns=True)
-    names = catalog.distinct_categories(papers).withColumn(
-        "paper_count", F.lit(0).cast("bigint")
-    )
+    order = [F.asc("update_date"), F.asc("title"), F.asc("abstract")]
+    added = settle(new_rows(paper, papers.drop("categories"), KEYS["paper"], order))
+    numbers = settle(assign_ids(paper, added.select("source_id"), [F.asc("source_id")]))
+    names = catalog.distinct_categories(papers).withColumn("paper_count", F.lit(0).cast("bigint"))
     fresh = new_rows(category, names, KEYS["category"])
-    all_categories = category.unionByName(assign_ids(category, fresh, [F.asc("name")]))
-    listed = papers.select("source_id", "categories").join(
-        paper.select("id", "source_id").unionByName(numbered.select("id", "source_id")), "source_id"
+    categories = settle(category.unionByName(assign_ids(category, fresh, [F.asc("name")])))
+    ids = paper.select("id", "source_id").unionByName(numbers.select("id", "source_id"))
+    listed = papers.select("source_id", "categories").join(ids, "source_id")
+    named = settle(catalog.link_paper_categories(listed, categories))
+    links = settle(new_rows(paper_categories, named, KEYS["paper_categories"], [F.desc("is_primary")]))
+    touched = named.select("category_id").distinct()
+    counts = (
+        paper_categories.select("category_id")
+        .unionByName(links.select("category_id"))
+        .join(touched, "category_id", "left_semi")
+        .groupBy(F.col("category_id").alias("id"))
+        .agg(F.count("*").alias("_count"))
     )
-    links = catalog.link_paper_categories(listed, all_categories)
-    all_links = insert_or_ignore(
-        paper_categories, links, KEYS["paper_categories"], [F.desc("is_primary")]
+    counted = categories.join(counts, "id", "left").withColumn(
+        "paper_count", F.coalesce("_count", "paper_count")
+    )
+    return added.join(numbers, "source_id"), counted.select(*category.columns), links
+
+
+def import_papers(
+    paper: DataFrame, category: DataFrame, paper_categories: DataFrame, papers: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The paper, category and link tables after an import."""
+    added, categories, links = paper_additions(paper, category, paper_categories, papers)
+    return (
+        paper.unionByName(added, allowMissingColumns=True),
+        categories,
+        paper_categories.unionByName(links),
     )
-    return all_papers, catalog.category_paper_count(all_categories, all_links), all_links

@@ -259,6 +259,16 @@ def maximal_merges(spark, sf):
     return ops.maximal_merges(tree, 1.0)
 
 
+@query("""SELECT CAST(topic_a AS BIGINT) AS left_id, CAST(topic_b AS BIGINT) AS right_id, round(1 - similarity, 9) AS distance
+          FROM similarity WHERE 1 - similarity < 0.5""", "similarity")
+def max_cluster_distance(spark, sf):
+    """Pairs of topics closer than a distance, as if each were a merge."""
+    pairs = ops.topic_similarity(_weights(spark, sf)).select(
+        F.col("topic_a").alias("left_id"), F.col("topic_b").alias("right_id"), (1 - F.col("similarity")).alias("distance")
+    )
+    return ops.max_cluster_distance(pairs, 0.5).withColumn("distance", F.round("distance", 9))
+
+
 @query()
 def evaluate_model(spark, sf):
     docs = views.docs(spark, sf)

@@ -36,10 +36,11 @@ def stream_ingest(
         batch = settle(batch)  # the batch is read for the papers and for the mark
         papers = ingest.imported_papers(ingest.clean_snapshot(batch, year_min, mark))
         current = [tables.read_table(session, root, t) for t in ("paper", "category", "paper_categories")]
-        names = ("paper", "category", "paper_categories")
-        fresh = [settle(t) for t in mutations.import_papers(*current, papers)]
-        for name, table in zip(names, fresh):
-            tables.write_table(table, root, name)
+        added, category, links = mutations.paper_additions(*current, papers)
+        # papers and links only grow; the small category table is written anew
+        tables.write_table(added, root, "paper", "append")
+        tables.write_table(links, root, "paper_categories", "append")
+        tables.write_table(category, root, "category")
         so_far = session.createDataFrame([(tables.read_mark(session, root, ingest.FIRST_MARK),)], "u string")
         latest = ingest.high_water_mark(batch).unionByName(
             so_far.select(F.col("u").cast("date").alias("update_date"))
