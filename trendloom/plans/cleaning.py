@@ -99,12 +99,12 @@ def clean_accents(spark, sf):
     escaped = F.col("text")
     for letter, escape in _ESCAPED.items():
         escaped = F.replace(escaped, F.lit(letter), F.lit(escape))
-    return views.load(spark, sf, "documents").select("doc_id", text.clean_accents(escaped).alias("text"))
+    return views.spread(views.load(spark, sf, "documents")).select("doc_id", text.clean_accents(escaped).alias("text"))
 
 
 @query(f"SELECT doc_id, {_cleaning_sql('text')} AS text FROM documents")
 def clean_text(spark, sf):
-    return views.load(spark, sf, "documents").select("doc_id", text.clean_text(F.col("text")).alias("text"))
+    return views.spread(views.load(spark, sf, "documents")).select("doc_id", text.clean_text(F.col("text")).alias("text"))
 
 
 @query("SELECT id, CAST(count(*) AS INT) AS sentences, string_agg(sentence, '|' ORDER BY i) AS text FROM sentences GROUP BY id", "sentences")

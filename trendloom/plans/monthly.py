@@ -9,6 +9,7 @@ from trendloom.functions import scalars
 from trendloom.operators import stats, trends
 from trendloom.plans import views
 from trendloom.plans.registry import query, view
+from trendloom.session import settle
 
 view("month_totals", """
 SELECT creation_year AS year, creation_month AS month, count(*) AS total FROM paper GROUP BY 1, 2""", "paper")
@@ -90,7 +91,9 @@ def _topic_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.topic_stats_by_month(_topic_stats(spark, sf), views.bare_topic(spark, sf))
+    # a stored table in use: read for the peaks and for the series
+    monthly = settle(_topic_stats(spark, sf))
+    return stats.topic_stats_by_month(monthly, views.bare_topic(spark, sf))
 
 
 def _trends(spark: SparkSession, sf: str) -> DataFrame:
