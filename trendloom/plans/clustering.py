@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import clusters, neighbours
 from trendloom.operators import topics as topic_ops
-from trendloom.plans import training, views
+from trendloom.plans import topics, training, views  # noqa: F401  (views of topics are used)
 from trendloom.plans.registry import query
 from trendloom.session import settle, work_dir
 from trendloom.sources import tables
@@ -54,7 +54,10 @@ def reduce_topics(spark, sf):
     return training.reduce_topics(docs, settle(topic_ops.term_counts(docs)), 0.6)
 
 
-@query()
+@query("""SELECT doc_id AS paper_id, CAST(topic_id + 2 AS BIGINT) AS topic_id, 1.0::DOUBLE AS probability, 0 AS transformed FROM docs
+          UNION ALL
+          SELECT d.doc_id, CAST(p.topic_id + 2 AS BIGINT), round(probability, 9), 2
+          FROM distribution p JOIN docs d ON d.doc_id = p.doc_id WHERE d.topic_id = -1 AND probability > 0.15""", "docs distribution")
 def distribute_papers(spark, sf):
     """Outlier documents go to the topics of the others by their words."""
     docs = settle(views.docs(spark, sf))
