@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import arrow_files, packing, sharding
+from trendloom.llm import arrow_files, bitslices, chat, packing, sharding, warc
 from trendloom.llm.common import table
 from trendloom.llm.sql import SQL  # noqa: F401  (used by the entry points)
 
@@ -46,6 +46,34 @@ def op3_sharding(spark, sf):
     )
 
 
+@query
+def op5_chat_format(spark, sf):
+    return chat.round_trip(chat.with_marker_case(table(spark, sf, "conversations")))
+
+
+@query
+def op6_warc_revisits(spark, sf):
+    folder = warc.write_archives(table(spark, sf, "pages"))
+    wanted = {
+        "payload_bytes": F.octet_length("payload").cast("long"),
+        "payload_digest": F.sha1("payload"),
+    }
+    found = warc.resolve_revisits(warc.read_archives(spark, folder), wanted)
+    return found.select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query
+def op9_bit_sliced_top_k(spark, sf):
+    vectors = bitslices.quantised(table(spark, sf, "embeddings"))
+    return bitslices.top_k(vectors, F.col("id") % 20 == 0)
+
+
 @query
 def op10_arrow_sequences(spark, sf):
     index = arrow_files.write_sequences(table(spark, sf, "documents"), vocabulary())
