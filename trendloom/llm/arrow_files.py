@@ -210,24 +210,24 @@ def read_documents(index: DataFrame, key: str = "doc_id") -> DataFrame:
                         held = {row["file"]: SequenceFile(row["file"])}
                     found = held[row["file"]].span(row["position"], row["n_tokens"])
                     ids.append(found.astype("<u4").tobytes())
-                kept = [part.column(c) for c in ("key", "shard", "position", "n_tokens")]
-                yield pa.record_batch(
-                    [*kept, pa.array(ids, pa.binary())],
-                    names=["key", "shard", "position", "n_tokens", "ids"],
-                )
+                names = ["key", "shard", "start", "n_tokens"]
+                kept = [part.column(c) for c in names]
+                yield pa.record_batch([*kept, pa.array(ids, pa.binary())], names=[*names, "ids"])
 
-    kind = index.schema[key].dataType.simpleString()
-    found = index.withColumnRenamed(key, "key").mapInArrow(
-        read, f"key {kind}, shard int, position bigint, n_tokens bigint, ids binary"
-    )
-    # one row per shard, so the running sum is over few rows
+    # one row per shard, so the running sum is over few rows; joined before the ids are read
     sizes = index.groupBy("shard").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    return found.join(offsets, "shard").select(
-        F.col("key").alias(key),
-        "shard",
-        (F.col("before") + F.col("position")).alias("start"),
-        "n_tokens",
-        "ids",
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    placed = (
+        index.withColumnRenamed(key, "key")
+        .join(offsets, "shard")
+        .withColumn("start", F.col("before") + F.col("position"))
+        .repartition(shards, "shard")  # rows are small, what they stand for is not
+        .sortWithinPartitions("shard", "position")
+    )
+    kind = index.schema[key].dataType.simpleString()
+    found = placed.mapInArrow(
+        read, f"key {kind}, shard int, start bigint, n_tokens bigint, ids binary"
     )
+    return found.withColumnRenamed("key", key)
