@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import arrow_files, bitslices, chat, packing, sharding, warc
+from trendloom.llm import (
+    arrow_files,
+    bitslices,
+    chat,
+    decontamination,
+    near_duplicates,
+    packing,
+    sharding,
+    warc,
+)
 from trendloom.llm.common import table
 from trendloom.llm.sql import SQL  # noqa: F401  (used by the entry points)
 
@@ -46,6 +55,21 @@ def op3_sharding(spark, sf):
     )
 
 
+@query
+def op4_decontamination(spark, sf):
+    judged = decontamination.contamination(
+        table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    )
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query
 def op5_chat_format(spark, sf):
     return chat.round_trip(chat.with_marker_case(table(spark, sf, "conversations")))
@@ -68,6 +92,11 @@ def op6_warc_revisits(spark, sf):
     )
 
 
+@query
+def op7_minhash_near_duplicates(spark, sf):
+    return near_duplicates.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op9_bit_sliced_top_k(spark, sf):
     vectors = bitslices.quantised(table(spark, sf, "embeddings"))
