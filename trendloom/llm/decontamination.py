@@ -38,10 +38,6 @@ def _count(found: Column, length: int) -> Column:
     return F.greatest(F.size(found) - (length - 1), F.lit(0))
 
 
-def _window(found: str, length: int, at: Column) -> Column:
-    return F.slice(F.col(found), at, length)
-
-
 def item_windows(benchmark: DataFrame, window: int = WINDOW, key: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id``, ``length``, ``words`` and ``hash`` of the distinct windows of each item."""
     cut = benchmark.select(F.col(key).alias("item_id"), words(text_of(text)).alias("w")).filter(
@@ -54,11 +50,15 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, key: str = "item_id
     return found.distinct().withColumn("hash", F.xxhash64("words"))
 
 
-def _pair(values: Column, step: int) -> Column:
-    """Hashes of twice the length: of values ``step`` apart."""
+def _hashed(length: int) -> Column:
+    """The windows of ``length`` words of the words ``w``, each with its hash."""
     return F.transform(
-        F.sequence(F.lit(0), F.size(values) - step - 1),
-        lambda i: F.xxhash64(F.get(values, i), F.get(values, i + step)),
+        F.sequence(F.lit(1), F.size("w") - (length - 1)),
+        lambda i: F.struct(
+            F.lit(length).alias("length"),
+            i.alias("at"),
+            F.xxhash64(F.slice("w", i, F.lit(length))).alias("hash"),
+        ),
     )
 
 
@@ -68,17 +68,7 @@ def scan(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     if windows.count() <= BROADCAST_WINDOWS:
         hashes = F.broadcast(hashes)
     cut = rows.select("doc", "th", words(F.col("text")).alias("w"))
-    parts = [
-        F.transform(
-            F.sequence(F.lit(1), F.size("w") - (length - 1)),
-            lambda i, length=length: F.struct(
-                F.lit(length).alias("length"),
-                i.alias("at"),
-                F.xxhash64(_window("w", length, i)).alias("hash"),
-            ),
-        )
-        for length in lengths
-    ]
+    parts = [_hashed(length) for length in lengths]
     empty = F.array().cast("array<struct<length:int,at:int,hash:bigint>>")
     parts = [F.when(_count(F.col("w"), n) > 0, p).otherwise(empty) for n, p in zip(lengths, parts)]
     each = cut.select("doc", "th", F.explode(F.concat(*parts) if parts else empty).alias("x"))
