@@ -15,6 +15,7 @@ from trendloom.llm import (
     near_duplicates,
     packing,
     sharding,
+    substring_duplicates,
     warc,
 )
 from trendloom.llm.common import table
@@ -97,6 +98,12 @@ def op7_minhash_near_duplicates(spark, sf):
     return near_duplicates.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op8_suffix_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return substring_duplicates.remove_repeats(docs, with_kept=False)
+
+
 @query
 def op9_bit_sliced_top_k(spark, sf):
     vectors = bitslices.quantised(table(spark, sf, "embeddings"))
