@@ -4,14 +4,17 @@ One pass over the texts makes, per document, a digest of its words, the number o
 word shingles and a MinHash signature. Documents with equal words are one class from then on, so a
 group of copies costs one member. Classes that agree in a band of the signature share a bucket.
 
-Pairs within a bucket are never all listed. In each round every bucket compares its members with
-its pivots, the first members by id, and with a member linked to a pivot by then need not be
-compared anything it shares a component with: a pivot that has met all members leaves the bucket,
-and a bucket whose members are in one component is done. The number of pivots doubles from round
-to round, so every pair of a bucket that might still join two components gets compared, without a
-cap, and a bucket of copies of one text is done after one round.
-
-A pair is verified in steps. Sizes that cannot reach the threshold fall out first. Then the
+Pairs within a bucket are never all listed. Shingles that no other class in any bucket has bound
+the similarity a class can reach: classes that cannot reach the threshold with any member of the
+bucket leave it at once. In each round every bucket compares its members with its pivots, the
+members with the fewest shingles of their own first, unless both are in one component by then. A
+pivot that has met all members leaves the bucket, and a bucket whose members are in one component
+is done. The number of pivots doubles from round to round, so every pair of a bucket that might
+still join two components gets compared, without a cap, and a bucket of copies of one text is done
+after one round.
+
+A pair is verified in steps. Sizes and shingles of their own that cannot reach the threshold fall
+out first. Then the
 signatures are compared in batches: after each batch, the pair is dropped if the posterior
 probability (uniform prior) that its similarity reaches the threshold is below ``MISS``. Survivors
 are compared on their full shingle sets, so no false link remains. With 20 bands of 4 rows, a pair
@@ -143,17 +146,21 @@ def least_matches(threshold: float, miss: float) -> dict[int, int]:
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` that sizes and posterior leave."""
+    """The pairs ``a``, ``b`` that sizes, shingles of their own and posterior leave."""
     needed = least_matches(percent / 100, MISS)
     kind = classes.schema["id"].dataType.simpleString()
     left, right = (
         classes.select(
-            F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")
+            F.col("id").alias(x),
+            F.col("n").alias(f"n_{x}"),
+            (F.col("n") - F.col("own")).alias(f"c_{x}"),
+            F.col("signature").alias(f"s_{x}"),
         )
         for x in "ab"
     )
     sized = pairs.join(left, "a").join(right, "b")
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    most = F.least("c_a", "c_b")  # no more shingles than these can be common
+    fits = most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
@@ -212,12 +219,33 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(both * 100 >= union * percent).select("a", "b")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``id`` and ``own``: how many of its shingles no other class has, where there are any."""
+    each = sets.select("id", F.explode("values").alias("value"))
+    alone = each.groupBy("value").agg(F.min("id").alias("id"), F.max("id").alias("_other"))
+    return alone.filter(F.col("id") == F.col("_other")).groupBy("id").agg(F.count("*").alias("own"))
+
+
+def linkable(members: DataFrame, percent: int) -> DataFrame:
+    """The members that may reach the threshold with some member of their bucket.
+
+    Of two classes with n and m shingles, of which the first has ``own`` for itself, at most
+    n - own are common and at least m + own are in the union.
+    """
+    least = members.groupBy("bucket").agg(F.min("n").alias("_least"))
+    return (
+        members.join(least, "bucket")
+        .filter((F.col("n") - F.col("own")) * 100 >= (F.col("_least") + F.col("own")) * percent)
+        .drop("_least")
+    )
+
+
 def round_pairs(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of the first ``pivots`` members of each bucket with the later ones in other
     components, and the members that stay for the next round.
 
-    ``members`` has ``bucket``, ``id`` and ``component``. Map tasks cut their part of a bucket to
-    its first members before the shuffle.
+    ``members`` has ``bucket``, ``id``, ``own`` and ``component``. Map tasks cut their part of a
+    bucket to its first members before the shuffle.
     """
     several = (
         members.groupBy("bucket")
@@ -225,19 +253,23 @@ def round_pairs(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
         .filter("_low < _high")
         .select("bucket")
     )
-    open_members = settle(members.join(several, "bucket"))
+    placed = members.withColumn("place", F.struct("own", "id"))
+    open_members = settle(placed.join(several, "bucket"))
     heads = (
-        first_per_group(open_members, ["bucket"], [F.col("id")], pivots)
+        first_per_group(open_members, ["bucket"], [F.col("place")], pivots)
         .groupBy("bucket")
         .agg(
-            F.collect_list(F.struct("id", "component")).alias("heads"), F.max("id").alias("last")
+            F.collect_list(F.struct("place", "component")).alias("heads"),
+            F.max("place").alias("last"),
         )
     )
     joined = open_members.join(heads, "bucket")
-    met = F.filter("heads", lambda h: (h["id"] < F.col("id")) & (h["component"] != F.col("component")))
+    met = F.filter(
+        "heads", lambda h: (h["place"] < F.col("place")) & (h["component"] != F.col("component"))
+    )
     pairs = joined.select(F.explode(met).alias("head"), F.col("id").alias("b"))
-    rest = joined.filter(F.col("id") > F.col("last")).select("bucket", "id")
-    return pairs.select(F.col("head.id").alias("a"), "b").distinct(), rest
+    rest = joined.filter(F.col("place") > F.col("last")).select("bucket", "id", "own")
+    return pairs.select(F.col("head.place.id").alias("a"), "b").distinct(), rest
 
 
 def near_duplicates(
@@ -272,16 +304,23 @@ def near_duplicates(
         )
     )
 
+    sized = settle(
+        signs.select("id", "digest", "n", "signature")
+        .join(own_shingles(sets), "id", "left")
+        .select("id", "n", "signature", F.coalesce("own", F.lit(0)).alias("own"))
+    )
     labels = candidates.select("id", F.col("id").alias("component"))
     all_links, pivots = None, 1
-    open_members = members
+    open_members = settle(
+        linkable(members.join(sized.select("id", "n", "own"), "id"), percent).select("bucket", "id", "own")
+    )
     while True:
         labelled = open_members.join(labels, "id")
         pairs, rest = round_pairs(labelled, pivots)
         pairs = settle(pairs)
         if pairs.isEmpty():
             break
-        found = settle(links(promising(pairs, signs, percent), sets, percent))
+        found = settle(links(promising(pairs, sized, percent), sets, percent))
         all_links = found if all_links is None else settle(all_links.unionByName(found))
         labels = settle(components(candidates, all_links))
         open_members = settle(rest)
