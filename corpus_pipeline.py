@@ -1,20 +1,72 @@
 """The corpus pipeline: raw documents to packed training sequences.
 
-Each stage reads what its predecessor has written and does its work on all of it.
+Each stage takes what its predecessor has kept and written, works on all of it, and returns the
+columns of ``documents``; the last one returns the packed pieces. Stages change texts or drop rows
+by their own decision alone; clean documents stay. Null texts count as empty and pass every filter;
+rows with a null id are kept by the filters; no rows give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trendloom.llm import decontamination, near_duplicates, packing, substring_duplicates, toxicity
+from trendloom.llm.common import table
+from trendloom.llm.queries import vocabulary
 from trendloom.session import settle
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go; the model is learnt from their labels."""
+    labels = table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels), name="_score")
+    return scored.filter(~toxicity.rejected(F.col("_score"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    judged = near_duplicates.near_duplicates(docs)
+    dropped = judged.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    left = docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    # rows of one id and text are copies of each other, too
+    return left.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the bytes of repeated windows. Their documents stay, shorter."""
+    kept = substring_duplicates.remove_repeats(docs)
+    return kept.withColumn(
+        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    judged = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return judged.filter("not contaminated").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the documents' pieces in training sequences, and the pieces' checksums."""
+    pieces = packing.token_pieces(docs, vocabulary())
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_spans),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+# a learnt model and token ids are beyond SQL; tests/llm holds every stage against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir))
     return docs

@@ -9,7 +9,7 @@ the similarity a class can reach: classes that cannot reach the threshold with a
 bucket leave it at once. In each round every bucket compares its members with its pivots, the
 members with the fewest shingles of their own first, unless both are in one component by then. A
 pivot that has met all members leaves the bucket, and a bucket whose members are in one component
-is done. The number of pivots doubles from round to round, so every pair of a bucket that might
+is done. The number of pivots grows fourfold from round to round, so every pair of a bucket that might
 still join two components gets compared, without a cap, and a bucket of copies of one text is done
 after one round.
 
@@ -324,7 +324,7 @@ def near_duplicates(
         all_links = found if all_links is None else settle(all_links.unionByName(found))
         labels = settle(components(candidates, all_links))
         open_members = settle(rest)
-        pivots *= 2
+        pivots *= 4
 
     of_class = classes.join(labels.withColumnRenamed("component", "_component"), "id", "left").select(
         "digest", F.coalesce("_component", "id").alias("component")

@@ -16,6 +16,7 @@ from trendloom.llm import (
     packing,
     sharding,
     substring_duplicates,
+    toxicity,
     warc,
 )
 from trendloom.llm.common import table
@@ -35,6 +36,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        toxicity.rejected(F.col("score")).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_best_fit_packing(spark, sf):
     pieces = packing.token_pieces(table(spark, sf, "documents"), vocabulary())
