@@ -28,9 +28,21 @@ BROADCAST_WINDOWS = 2_000_000  # 64-bit hashes: some 100 MB as a hash table
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+WORD_OF_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case; texts of one byte per character have no other letters to change."""
+    changed = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(changed)
+
+
 def words(text: Column) -> Column:
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD_OF_ANY_CASE)).cast("long")
 
 
 def _count(found: Column, length: int) -> Column:
@@ -131,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         {"doc": "_hit_doc", "th": "_hit_th", "hit": "_hit", "items": "_items"}
     )
     rows = docs.drop(*added).withColumn("_th", F.xxhash64(text_of(text)))
-    counted = rows.withColumn("n_words", F.size(words(text_of(text))).cast("long"))
+    counted = rows.withColumn("n_words", word_count(text_of(text)))
     joined = counted.join(
         found,
         F.col(key).eqNullSafe(F.col("_hit_doc")) & (F.col("_th") == F.col("_hit_th")),
@@ -156,8 +168,7 @@ def remove_spans(judged: DataFrame, text: str = "text", kept: str = "kept_text")
 
     Words and what lies between them alternate, so the text is put together again from both.
     """
-    lower = F.translate(text_of(text), string.ascii_uppercase, string.ascii_lowercase)
-    between = F.split(lower, WORD, -1)
+    between = F.split(lower_ascii(text_of(text)), WORD, -1)
     found = words(text_of(text))
     parts = F.transform(
         between,

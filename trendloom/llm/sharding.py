@@ -83,16 +83,22 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> Da
     # one element per slot, the largest first
     slots = known.agg(F.sort_array(F.collect_list("slot"), asc=False).alias("slots"))
     loads = F.array_repeat(F.lit(0).cast("long"), shards)
-    share = F.aggregate("slots", F.lit(0).cast("long"), lambda a, s: a + s["bytes"]) / shards
+
+    def total(slots: Column) -> Column:
+        return F.aggregate(slots, F.lit(0).cast("long"), lambda a, s: a + s["bytes"])
+
+    # a slot beyond the mean fills a shard alone, and the others share the rest
+    every = F.col("slots")
+    huge = F.filter(every, lambda s: s["bytes"] > total(every) / shards)
+    share = (total(every) - total(huge)) / F.greatest(F.lit(1), shards - F.size(huge))
 
     def add(load: Column, at: Column, size: Column) -> Column:
         return F.transform(load, lambda x, i: F.when(i == at, x + size).otherwise(x))
 
     def keep(state: Column, s: Column) -> Column:
-        """A slot stays if its shard exists and has room for it within the share."""
-        there = (s["shard"] < shards) & (
-            F.coalesce(F.get(state["load"], s["shard"]), F.lit(0)) + s["bytes"] <= F.col("share")
-        )
+        """A slot stays if its shard exists and is empty or has room within the share."""
+        load = F.coalesce(F.get(state["load"], s["shard"]), F.lit(0))
+        there = (s["shard"] < shards) & ((load == 0) | (load + s["bytes"] <= F.col("share")))
         at = F.when(there, s["shard"]).otherwise(F.lit(-1))
         return F.struct(
             add(state["load"], at, s["bytes"]).alias("load"),
