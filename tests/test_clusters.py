@@ -135,3 +135,11 @@ def test_mix_adds_up_and_short_texts(spark):
     assert set(totals) == {1, 2, 3} and all(t == pytest.approx(1) for t in totals.values())
     moved = topics.reduce_outliers(docs, topics.approximate_distribution(docs, weights), 0.5)
     assert {r.doc_id: r.topic_id for r in moved.collect()} == {1: 0, 2: 1, 3: 0, 4: -1, 5: -1}
+
+
+def test_seeds_reach_the_end_of_a_chain(spark):
+    links = [(i, j) for i in range(12) for j in (i - 1, i + 1) if 0 <= j < 12]
+    neighbours = spark.createDataFrame(links, "id long, neighbour long")
+    seeds = spark.createDataFrame([(0, 3)], "id long, topic_id long")
+    rows = clusters.seeded_clusters(neighbours, seeds).collect()
+    assert {r["id"]: r["topic_id"] for r in rows} == dict.fromkeys(range(12), 3)

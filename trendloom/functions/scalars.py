@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def creation_date(versions: Column) -> Column:
     """Date of the first version; null where there is no entry ``v1``."""
     first = F.get(F.filter(versions, lambda v: v["version"] == "v1"), F.lit(0))["created"]
-    # the weekday before the comma is dropped: the parser does not take it
-    stamp = F.regexp_replace(first, r"^\s*[A-Za-z]+,\s*", "")
-    return F.to_date(F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss z")))
+    # the date as written, whatever the time zones of the stamp and the session
+    day = F.regexp_extract(first, r"^\s*[A-Za-z]+,\s*(\d{1,2} [A-Za-z]{3} \d{4})\b", 1)
+    return F.to_date(F.try_to_timestamp(day, F.lit("d MMM yyyy")))
 
 
 def publication(year: Column, month: Column) -> Column:

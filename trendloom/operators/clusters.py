@@ -223,10 +223,12 @@ def cluster_sweep(
     return named, chosen.select("id", "cluster")
 
 
-def seeded_clusters(neighbours: DataFrame, seeds: DataFrame, rounds: int = 5) -> DataFrame:
+def seeded_clusters(neighbours: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, topic_id): labels spread from seeds to points without one, by majority of neighbours.
 
-    Seeds (id, topic_id) keep their label; -1 stands for unknown. Lower topics win ties.
+    Seeds (id, topic_id) keep their label; -1 stands for unknown. Lower topics win ties. Labels
+    spread until a round labels no further point, so every point that a seed reaches gets one, or
+    for as many ``rounds`` as asked for.
     """
     edges = settle(neighbours.select("id", "neighbour"))
     fixed = seeds.filter(F.col("topic_id") != OUTLIER).select("id", F.col("topic_id").alias("label"))
@@ -234,7 +236,13 @@ def seeded_clusters(neighbours: DataFrame, seeds: DataFrame, rounds: int = 5) ->
         edges.select("id").union(seeds.select("id")).distinct().join(fixed, "id", "left")
         .withColumn("seed", F.col("label").isNotNull())
     )
-    for _ in range(rounds):
+    done, missing = 0, -1
+    while done != rounds and missing:
+        before = missing
+        missing = labels.filter(F.col("label").isNull()).count()
+        if rounds is None and missing == before:
+            break
+        done += 1
         voices = labels.filter(F.col("label").isNotNull()).select(F.col("id").alias("neighbour"), "label")
         open_ends = edges.join(labels.filter(~F.col("seed")).select("id"), "id", "left_semi")
         votes = open_ends.join(voices, "neighbour").groupBy("id", "label").agg(F.count("*").alias("votes"))

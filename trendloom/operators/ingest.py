@@ -66,11 +66,14 @@ def filter_untrimmable(records: DataFrame) -> DataFrame:
 
 
 def staged(records: DataFrame) -> DataFrame:
-    """Cleaned and trimmed records with the ``stage`` each of them ended in."""
+    """Cleaned and trimmed records with the ``stage`` each of them ended in.
+
+    A record without an abstract ends as a short one.
+    """
     cleaned = clean(records).withColumn(
         "_early",
         F.when(text.is_withdrawn(F.col("abstract")), WITHDRAWN).when(
-            F.length("abstract") < text.MIN_LENGTH, SHORT
+            F.coalesce(F.length("abstract"), F.lit(0)) < text.MIN_LENGTH, SHORT
         ),
     )
     return (

@@ -127,14 +127,14 @@ def abstract_length(spark, sf):
 
 @query(f"""SELECT doc_id, abstract FROM (SELECT doc_id, CASE WHEN quality = 0 THEN ' This paper has been withdrawn. '
                  WHEN toxic = 1 THEN ' Withdrawn: ' ELSE ' withdrawn ' END || text AS abstract
-           FROM documents JOIN labels USING (doc_id)) WHERE NOT ({_WITHDRAWN_SQL})""")
+           FROM documents LEFT JOIN labels USING (doc_id)) WHERE NOT ({_WITHDRAWN_SQL})""")
 def filter_withdrawn(spark, sf):
     start = (
         F.when(F.col("quality") == 0, " This paper has been withdrawn. ")
         .when(F.col("toxic") == 1, " Withdrawn: ")
         .otherwise(" withdrawn ")
     )
-    labelled = views.load(spark, sf, "documents").join(views.load(spark, sf, "labels"), "doc_id")
+    labelled = views.load(spark, sf, "documents").join(views.load(spark, sf, "labels"), "doc_id", "left")
     return ingest.filter_withdrawn(
         labelled.select("doc_id", F.concat(start, F.col("text")).alias("abstract"))
     )

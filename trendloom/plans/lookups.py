@@ -28,8 +28,7 @@ def expand_categories(spark, sf):
     )
 
 
-@query("""SELECT name, CASE WHEN instr(name, '.') = 0 THEN name ELSE substr(name, 1, instr(name, '.') - 1) END AS archive
-          FROM category""", "category")
+@query("SELECT name, regexp_extract(name, '^[^.]*') AS archive FROM category", "category")
 def archive_of(spark, sf):
     return views.bare_category(spark, sf).select("name", scalars.archive_of(F.col("name")).alias("archive"))
 
@@ -41,11 +40,11 @@ def distinct_categories(spark, sf):
 
 
 
-@query("""SELECT CAST(s.id AS BIGINT) AS paper_id, c.name,
-                 CASE WHEN c.name = str_split(categories, ' ')[1] THEN 1 ELSE 0 END AS is_primary
-          FROM snapshot s JOIN (SELECT DISTINCT unnest(list_slice(str_split(categories, ' '), 1, 3)) AS name FROM snapshot) c
-            ON c.name IN (str_split(categories, ' ')[1], str_split(categories, ' ')[2], str_split(categories, ' ')[3])""",
-       "snapshot")
+@query("""SELECT * FROM (
+          WITH codes AS (
+            SELECT CAST(id AS BIGINT) AS paper_id, unnest(list_slice(string_split(categories, ' '), 1, 3)) AS name,
+                   generate_subscripts(list_slice(string_split(categories, ' '), 1, 3), 1) AS place FROM snapshot)
+          SELECT paper_id, name, CAST(min(place) = 1 AS INT) AS is_primary FROM codes GROUP BY ALL)""", "snapshot")
 def link_paper_categories(spark, sf):
     papers = _coded(spark, sf)
     names = catalog.distinct_categories(papers).select("name", F.xxhash64("name").alias("id"))
@@ -79,10 +78,12 @@ def topic_paper_count(spark, sf):
 
 
 # the thresholds split the categories at every scale factor
-@query(f"""SELECT c.id AS category_id,
-                  CASE WHEN c.name <> c.archive AND a.n > 1500 AND c.paper_count > 400 THEN c.name ELSE c.archive END AS subset
-           FROM category c JOIN (SELECT archive, sum(paper_count) AS n FROM category GROUP BY archive) a
-             ON a.archive = c.archive""", "category")
+@query("""SELECT * FROM (
+          WITH sized AS (
+            SELECT id, name, archive, paper_count, sum(paper_count) OVER (PARTITION BY archive) AS papers FROM category)
+          SELECT id AS category_id, name AS subset FROM sized WHERE papers > 1500 AND paper_count > 400 AND name <> archive
+          UNION ALL
+          SELECT id, archive FROM sized WHERE NOT (papers > 1500 AND paper_count > 400 AND name <> archive))""", "category")
 def subset_map(spark, sf):
     return catalog.subset_map(views.category(spark, sf), 1500, 400)
 
@@ -112,9 +113,11 @@ def title_without_formula(spark, sf):
     return catalog.title_without_formula(views.paper(spark, sf)).select("id", "title")
 
 
-@query("""SELECT p.id FROM paper p LEFT JOIN (paper_topics pt JOIN topic t ON pt.topic_id = t.id
-                 AND t.hierarchy = 0 AND t.orig_id <> -1) ON p.id = pt.paper_id
-          WHERE pt.paper_id IS NULL""", "paper topic")
+@query("""SELECT * FROM (
+          WITH real_topics AS (SELECT id FROM topic WHERE hierarchy = 0 AND orig_id >= 0)
+          SELECT id FROM paper
+          EXCEPT
+          SELECT paper_id FROM paper_topics WHERE topic_id IN (FROM real_topics))""", "paper topic")
 def outlier_papers(spark, sf):
     return catalog.outlier_papers(
         views.paper(spark, sf), views.paper_topics(spark, sf), views.bare_topic(spark, sf), 0
@@ -138,9 +141,11 @@ def papers_by_model(spark, sf):
     ).select("id", "orig_id")
 
 
-@query("""SELECT t.model, t.orig_id AS topic_id, p.id, p.title
-          FROM topic t JOIN paper_topics pt ON pt.topic_id = t.id JOIN paper p ON p.id = pt.paper_id
-          WHERE t.llm_label = ''""", "paper topic")
+@query("""SELECT * FROM (
+          WITH bare AS (SELECT id AS topic, model, orig_id FROM topic WHERE length(llm_label) = 0),
+               links AS (SELECT paper_id, topic_id FROM paper_topics WHERE topic_id IN (SELECT topic FROM bare))
+          SELECT model, orig_id AS topic_id, paper.id, title
+          FROM paper, links, bare WHERE paper.id = links.paper_id AND links.topic_id = bare.topic)""", "paper topic")
 def papers_of_unlabelled_topics(spark, sf):
     return catalog.papers_of_unlabelled_topics(
         views.paper(spark, sf), views.paper_topics(spark, sf), views.bare_topic(spark, sf)
@@ -163,8 +168,10 @@ def model_exists(spark, sf):
     return topic.filter("hierarchy >= 0").select("model").distinct().withColumn("found", flag)
 
 
-@query("""SELECT hierarchy, model FROM topic WHERE hierarchy > -1 GROUP BY hierarchy, model
-          HAVING sum(paper_count) < (SELECT count(*) * 3 FROM paper)""", "paper topic")
+@query("""SELECT * FROM (
+          WITH placed AS (SELECT model, hierarchy, sum(paper_count) AS links FROM topic WHERE hierarchy >= 0 GROUP BY ALL),
+               papers AS (SELECT 3 * count(*) AS wanted FROM paper)
+          SELECT hierarchy, model FROM placed JOIN papers ON links < wanted)""", "paper topic")
 def models_for_transform(spark, sf):
     # each paper thrice, so that one of the two models falls short at every scale
     papers = views.paper(spark, sf)
