@@ -7,11 +7,16 @@ group of copies costs one member. Classes that agree in a band of the signature
 Pairs within a bucket are never all listed. Shingles that no other class in any bucket has bound
 the similarity a class can reach: classes that cannot reach the threshold with any member of the
 bucket leave it at once. In each round every bucket compares its members with its pivots, the
-members with the fewest shingles of their own first, unless both are in one component by then. A
-pivot that has met all members leaves the bucket, and a bucket whose members are in one component
-is done. The number of pivots grows fourfold from round to round, so every pair of a bucket that might
-still join two components gets compared, without a cap, and a bucket of copies of one text is done
-after one round.
+members with the fewest shingles of their own first, unless both are in one component by then or
+cannot reach the threshold. A pivot that has met all members leaves the bucket, and a bucket whose
+members are in one component is done.
+
+The first round has one pivot and settles buckets of copies of one text. Classes still open then
+are put into finer buckets: of a class's shingles, the rarest first, only as many are kept as two
+sets at the threshold must share one of, and each is a bucket. The place of a shared shingle in
+that order bounds the similarity of a pair, as it is the first they share in one of their buckets.
+The number of pivots grows fourfold from round to round, so every pair that might still join two
+components gets compared, without a cap.
 
 A pair is verified in steps. Sizes and shingles of their own that cannot reach the threshold fall
 out first. Then the
@@ -31,7 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import text_of
@@ -240,35 +245,67 @@ def linkable(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def round_pairs(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the first ``pivots`` members of each bucket with the later ones in other
-    components, and the members that stay for the next round.
+def rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """``bucket`` (a shingle), ``id``, ``n`` and ``own`` (how many of its shingles come before).
 
-    ``members`` has ``bucket``, ``id``, ``own`` and ``component``. Map tasks cut their part of a
-    bucket to its first members before the shuffle.
+    Shingles are ordered by the number of classes that have them. Sets that reach the threshold
+    share ``percent`` of either, so that they share one of the first n - percent * n + 1 of each.
     """
+    each = sets.select("id", F.explode("values").alias("value"))
+    shared = settle(each.groupBy("value").agg(F.count("*").alias("_classes")).filter("_classes > 1"))
+    place = F.struct(F.coalesce("_classes", F.lit(1)).alias("classes"), "value")
+    ordered = (
+        each.join(shared, "value", "left")
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(place)).alias("_values"))
+        .withColumn("n", F.size("_values"))
+    )
+    first = F.slice("_values", F.lit(1), F.expr(f"n - cast(ceil(n * {percent} / 100.0) as int) + 1"))
+    placed = ordered.select("id", "n", F.posexplode(first).alias("own", "_value"))
+    return placed.filter("_value.classes > 1").select(
+        F.col("_value.value").alias("bucket"), "id", "n", "own"
+    )
+
+
+def undecided(members: DataFrame) -> DataFrame:
+    """The members of buckets with more than one component."""
     several = (
         members.groupBy("bucket")
         .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
         .filter("_low < _high")
         .select("bucket")
     )
-    placed = members.withColumn("place", F.struct("own", "id"))
-    open_members = settle(placed.join(several, "bucket"))
+    return members.join(several, "bucket")
+
+
+def round_pairs(members: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the first ``pivots`` members of each bucket with the later ones in other
+    components, if they may reach the threshold, and the members that stay for the next round.
+
+    ``members`` has ``bucket``, ``id``, ``n``, ``own`` and ``component``. Map tasks cut their part
+    of a bucket to its first members before the shuffle.
+    """
+    open_members = settle(undecided(members.withColumn("place", F.struct("own", "id"))))
     heads = (
         first_per_group(open_members, ["bucket"], [F.col("place")], pivots)
         .groupBy("bucket")
         .agg(
-            F.collect_list(F.struct("place", "component")).alias("heads"),
+            F.collect_list(F.struct("place", "component", "n")).alias("heads"),
             F.max("place").alias("last"),
         )
     )
     joined = open_members.join(heads, "bucket")
+
+    def may_link(head: Column) -> Column:
+        most = F.least(head["n"] - head["place"]["own"], F.col("n") - F.col("own"))
+        return most * 100 >= (head["n"] + F.col("n") - most) * percent
+
     met = F.filter(
-        "heads", lambda h: (h["place"] < F.col("place")) & (h["component"] != F.col("component"))
+        "heads",
+        lambda h: (h["place"] < F.col("place")) & (h["component"] != F.col("component")) & may_link(h),
     )
     pairs = joined.select(F.explode(met).alias("head"), F.col("id").alias("b"))
-    rest = joined.filter(F.col("place") > F.col("last")).select("bucket", "id", "own")
+    rest = joined.filter(F.col("place") > F.col("last")).select("bucket", "id", "n", "own")
     return pairs.select(F.col("head.place.id").alias("a"), "b").distinct(), rest
 
 
@@ -311,19 +348,21 @@ def near_duplicates(
     )
     labels = candidates.select("id", F.col("id").alias("component"))
     all_links, pivots = None, 1
-    open_members = settle(
-        linkable(members.join(sized.select("id", "n", "own"), "id"), percent).select("bucket", "id", "own")
-    )
+    open_members = linkable(members.join(sized.select("id", "n", "own"), "id"), percent)
     while True:
-        labelled = open_members.join(labels, "id")
-        pairs, rest = round_pairs(labelled, pivots)
-        pairs = settle(pairs)
-        if pairs.isEmpty():
+        pairs, rest = round_pairs(open_members.join(labels, "id"), pivots, percent)
+        pairs, rest = settle(pairs), settle(rest)
+        if not pairs.isEmpty():
+            found = settle(links(promising(pairs, sized, percent), sets, percent))
+            all_links = found if all_links is None else settle(all_links.unionByName(found))
+            labels = settle(components(candidates, all_links))
+        if rest.isEmpty():
             break
-        found = settle(links(promising(pairs, sized, percent), sets, percent))
-        all_links = found if all_links is None else settle(all_links.unionByName(found))
-        labels = settle(components(candidates, all_links))
-        open_members = settle(rest)
+        if pivots == 1:
+            still = undecided(rest.join(labels, "id")).select("id").distinct()
+            finer = rare_buckets(sets.join(still, "id", "left_semi"), percent)
+            rest = settle(linkable(finer, percent))
+        open_members = rest
         pivots *= 4
 
     of_class = classes.join(labels.withColumnRenamed("component", "_component"), "id", "left").select(
