@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    judged = near_duplicates.near_duplicates(docs)
+    """One document of each group of near copies (80 % of their five-word shingles in common) stays,
+    that with the smallest id."""
+    judged = near_duplicates.near_duplicates(docs, percent=80, shingle=5)
     dropped = judged.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     left = docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
     # rows of one id and text are copies of each other, too

@@ -23,7 +23,8 @@ out first. Then the
 signatures are compared in batches: after each batch, the pair is dropped if the posterior
 probability (uniform prior) that its similarity reaches the threshold is below ``MISS``. Survivors
 are compared on their full shingle sets, so no false link remains. With 20 bands of 4 rows, a pair
-at similarity 0.85 shares no band with probability 4e-7.
+at similarity 0.85 shares no band with probability 4e-7, one at 0.8 with 2.6e-5. ``op7`` takes
+three words and 85 per cent (the defaults), the corpus pipeline five words and 80 per cent.
 
 Words are runs of characters other than ASCII white space, with A-Z in lower case; a text of fewer
 than ``shingle`` words is one shingle; null texts and texts without words have none and are linked

@@ -108,7 +108,7 @@ def op6_warc_revisits(spark, sf):
 
 @query
 def op7_minhash_near_duplicates(spark, sf):
-    return near_duplicates.near_duplicates(table(spark, sf, "documents"))
+    return near_duplicates.near_duplicates(table(spark, sf, "documents"), percent=85, shingle=3)
 
 
 @query
