@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of the documents' pieces in training sequences, and the pieces' checksums."""
-    pieces = packing.token_pieces(docs, vocabulary())
+    pieces = packing.token_pieces(docs, vocabulary(), added=True)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 

@@ -137,8 +137,10 @@ def write_sequences(
     end_id: int = 0,
     shard_bytes: int = SHARD_BYTES,
     folder: str | None = None,
+    added: bool = False,
 ) -> DataFrame:
-    """Write the tokens of all documents; the index has a row per document.
+    """Write the tokens of all documents; the index has a row per document. With ``added``,
+    strings of added tokens get their ids.
 
     Index columns: the key, ``shard`` (int), ``file``, ``position`` (long, in the shard's stream),
     ``n_tokens`` (long, with the end id).
@@ -157,7 +159,7 @@ def write_sequences(
 
         shard = TaskContext.get().partitionId()
         name = new_file(folder, f"shard-{shard:06d}") + ".arrow"
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added)
         wide = max(encode.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         out, position = None, 0
         for batch in batches:

@@ -36,8 +36,10 @@ def token_pieces(
     text: str = "text",
     capacity: int = CAPACITY,
     end_id: int = 0,
+    added: bool = False,
 ) -> DataFrame:
     """The documents' ids, cut where longer than ``capacity``; the first piece takes the rest.
+    With ``added``, strings of added tokens get their ids.
 
     Columns: the key, ``piece`` (int, from 0), ``start`` and ``length`` (long) and ``ids``
     (binary, little-endian unsigned 32-bit).
@@ -47,7 +49,7 @@ def token_pieces(
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, added).encode
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 128):

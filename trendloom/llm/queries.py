@@ -50,7 +50,7 @@ def op1_toxicity(spark, sf):
 
 @query
 def op2_best_fit_packing(spark, sf):
-    pieces = packing.token_pieces(table(spark, sf, "documents"), vocabulary())
+    pieces = packing.token_pieces(table(spark, sf, "documents"), vocabulary(), added=True)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
@@ -125,6 +125,6 @@ def op9_bit_sliced_top_k(spark, sf):
 
 @query
 def op10_arrow_sequences(spark, sf):
-    index = arrow_files.write_sequences(table(spark, sf, "documents"), vocabulary())
+    index = arrow_files.write_sequences(table(spark, sf, "documents"), vocabulary(), added=True)
     found = arrow_files.read_documents(index)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

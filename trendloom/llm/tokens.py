@@ -3,7 +3,9 @@
 A byte-level BPE encodes each piece of the text (a word with the space before it, a number, a run
 of marks) by itself, so ids of pieces seen before are reused and only new pieces are merged. Texts
 with letters outside the Latin blocks go through the tokenizer as a whole; both ways give the same
-ids. Strings of special tokens inside a text are ordinary text.
+ids. Strings of special tokens inside a text are ordinary text, unless ``added`` is set: then they
+get the added token's id, as by the library's default, and texts that hold one go through the
+tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in tokens if added or not t.special]
         self.known: dict[str, bytes] = {}
         self.letters = byte_letters()
 
@@ -53,7 +57,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or any(token in text for token in self.added):
             return self._whole(text)
         pieces = PIECES.findall(text)
         new = list(set(pieces).difference(self.known))
@@ -66,11 +70,11 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, pieces))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder per vocabulary, way with added tokens and Python worker."""
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
