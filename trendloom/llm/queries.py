@@ -14,9 +14,12 @@ from trendloom.llm import (
     decontamination,
     near_duplicates,
     packing,
+    phrases,
     sharding,
+    simhash,
     substring_duplicates,
     toxicity,
+    vector_codes,
     warc,
 )
 from trendloom.llm.common import table
@@ -128,3 +131,18 @@ def op10_arrow_sequences(spark, sf):
     index = arrow_files.write_sequences(table(spark, sf, "documents"), vocabulary(), added=True)
     found = arrow_files.read_documents(index)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op11_phrase_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query
+def op12_vector_codes(spark, sf):
+    return vector_codes.compress(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_simhash_near_duplicates(spark, sf):
+    return simhash.simhash_duplicates(table(spark, sf, "documents"))

@@ -65,3 +65,81 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit_word USING (doc_id) LEFT JOIN hit_item USING (doc_id)"""
+
+SQL["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+piece_words AS (SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS w FROM pieces),
+occurrences AS (
+  SELECT lang, m, w[i:i + m - 1] AS words
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM piece_words, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m)),
+f AS MATERIALIZED (
+  SELECT lang, m, words, array_to_string(words, ' ') AS phrase, count(*) AS f FROM occurrences GROUP BY lang, m, words HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece_words GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r,
+         (CAST(c.f AS HUGEINT) * 2000000) // (CAST(x.f AS HUGEINT) + y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1:], ' ')),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(words[i:i + s - 1], ' ') AS phrase, f FROM (
+    SELECT lang, words, f, m, s, unnest(range(1, m - s + 2)) AS i FROM f, (SELECT unnest(range(2, 4)) AS s) WHERE s < m)),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY lang, phrase),
+ranked AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest LEFT JOIN longer USING (lang, phrase)
+  WHERE longer.f IS NULL OR CAST(longer.f AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+def _vector_codes() -> str:
+    """The rounds one after the other, each as a few named steps."""
+    distance = "list_sum(list_transform(list_zip(x, c), lambda z: CAST(z[1] - z[2] AS HUGEINT) * (z[1] - z[2])))"
+    steps = [
+        """kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """parts AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x
+  FROM (SELECT *, unnest(range(8)) AS p FROM kept))""",
+        """book0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16))""",
+    ]
+    for turn in range(7):
+        steps.append(
+            f"""near{turn} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, min(row({distance}, e)) AS best
+  FROM parts JOIN book{turn} USING (p) GROUP BY vec_id, label, p, x)"""
+        )
+        if turn < 6:
+            steps += [
+                f"""sums{turn} AS (
+  SELECT p, best[2] AS e, i, sum(CAST(x[i] AS HUGEINT)) AS s, count(*) AS n
+  FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM near{turn}) GROUP BY ALL)""",
+                f"""means{turn} AS (
+  SELECT p, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM sums{turn} GROUP BY p, e)""",
+                f"""book{turn + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book{turn} b LEFT JOIN means{turn} m USING (p, e))""",
+            ]
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + """,
+coded AS (
+  SELECT vec_id, label, string_agg(format('{:02x}', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+  FROM near6 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book6) AS codebooks_sha256
+FROM coded"""
+    )
+
+
+SQL["op12_vector_codes"] = _vector_codes()
