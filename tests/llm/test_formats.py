@@ -39,6 +39,18 @@ def test_conversations_come_back(spark):
     assert chat.round_trip(turns.filter("false")).count() == 0
 
 
+def test_texts_that_end_like_a_turn(spark):
+    long = "x" * 70_000 + "</turn>\n"
+    rows = [(1, 0, "user", long, 9), (1, 1, "assistant", "yes</turn>\n", 9), (1, 2, "user", long, 9), (1, 3, "assistant", long, 9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chunk int")
+    formatted = chat.format_conversations(turns)
+    assert formatted.count() == 3
+    got = chat.read_conversations(formatted).collect()[0]
+    order = "".join(f"{r[2]}\n{r[3]}\n" for r in rows)
+    assert got["n_turns"] == 4 and got["turns_sha256"] == hashlib.sha256(order.encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256(f"yes</turn>\n{long}".encode()).hexdigest()
+
+
 def test_archives_round_trip(spark):
     long = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 60
     rows = [(1, "http://a/ b\n", long), (5, None, long), (5, None, long), (None, "u", long), (2, "u", None), (3, "u", ""), (4, "u", "x"), (6, "u", "x")]

@@ -9,7 +9,8 @@ a backslash before every backslash, ``<``, ``#`` and ``:``, and reading takes it
 
 Rows go by turn, null turns first, equal turns by role and text; repeated rows are turns of their
 own. Null roles and texts are empty. Rows without a conversation id form one conversation with a
-null id. No rows give no conversations. The rows of one conversation are one ordered text and so
+null id. Texts may have any length; a chunk is longer where one turn is. Other columns are not read.
+No rows give no conversations. The rows of one conversation are one ordered text and so
 stay in one task, which reads them as a stream.
 """
 
@@ -29,13 +30,13 @@ from trendloom.session import settle
 CHUNK = 1 << 16
 TURN, MIDDLE, END = "### ", ": ", "</turn>\n"
 TEMPLATE = (
-    "{% for message in messages %}"
+    "{% for message in messages %}{% turn %}"
     f"{{{{ '{TURN}' ~ (message.role|escape) ~ '{MIDDLE}' }}}}"
     "{% if message.role == 'assistant' %}"
     "{% generation %}{{ message.text|escape }}{% endgeneration %}"
     "{% else %}{{ message.text|escape }}{% endif %}"
     f"{END}"
-    "{% endfor %}"
+    "{% endturn %}{% endfor %}"
 )
 SPECIAL = re.compile(r"([\\<#:])")
 ESCAPED = re.compile(r"\\(.)", re.S)
@@ -56,8 +57,9 @@ def _rows(batches: Iterator) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def chunks(pieces: Iterator[tuple[str, bool]], size: int, end: str) -> Iterator[tuple[str, list[int]]]:
-    """Rendered text in chunks that end with ``end``, and the learnt spans as [from, to, …]."""
+def chunks(pieces: Iterator[tuple[str, bool | None]], size: int) -> Iterator[tuple[str, list[int]]]:
+    """Rendered text in chunks of whole turns, whose ends the template marks, and the learnt spans
+    as [from, to, …]."""
     parts: list[str] = []
     at, spans = 0, []
     for text, learnt in pieces:
@@ -65,7 +67,7 @@ def chunks(pieces: Iterator[tuple[str, bool]], size: int, end: str) -> Iterator[
             spans += [at, at + len(text)]
         parts.append(text)
         at += len(text)
-        if at >= size and text.endswith(end) and not learnt:
+        if at >= size and learnt is None:
             yield "".join(parts), spans
             parts, at, spans = [], 0, []
     if parts:
@@ -73,7 +75,7 @@ def chunks(pieces: Iterator[tuple[str, bool]], size: int, end: str) -> Iterator[
 
 
 def format_conversations(
-    turns: DataFrame, template: str = TEMPLATE, end: str = END, chunk: int = CHUNK
+    turns: DataFrame, template: str = TEMPLATE, chunk: int = CHUNK
 ) -> DataFrame:
     """Columns ``conv_id``, ``chunk`` (int, from 0), ``formatted`` and ``learnt`` (array of
     character positions in the chunk: from, to, from, to …)."""
@@ -105,7 +107,7 @@ def format_conversations(
 
         found, size = [], 0
         for conv, messages in groupby(_rows(all_batches()), key=lambda r: r["conv_id"]):
-            for n, (text, spans) in enumerate(chunks(show({"messages": messages}), chunk, end)):
+            for n, (text, spans) in enumerate(chunks(show({"messages": messages}), chunk)):
                 found.append((conv, n, text, spans))
                 size += len(text)
                 if size > 4 << 20 or len(found) == 5000:

@@ -4,6 +4,7 @@
     {% for name in expression %} … {% endfor %}
     {% if expression %} … {% elif expression %} … {% else %} … {% endif %}
     {% generation %} … {% endgeneration %}  output of the model, which training learns
+    {% turn %} … {% endturn %}              a turn, whose end the output marks
 
 Expressions: strings in quotes, whole numbers, ``true``, ``false``, ``none``, names, fields
 (``message.role``), ``~`` (joins as text), ``==``, ``!=``, ``and``, ``or``, ``not``, brackets and
@@ -159,8 +160,8 @@ def parse(source: str) -> Node:
     def statement(word: str, rest: str) -> Node:
         if word == "for" and (found := re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.+)", rest, re.S)):
             return Node("for", (found[1], _Expressions(found[2]).whole(), block("endfor")[0]))
-        if word == "generation":
-            return Node("generation", (block("endgeneration")[0],))
+        if word in ("generation", "turn"):
+            return Node(word, (block(f"end{word}")[0],))
         if word == "if":
             test = _Expressions(rest).whole()
             then, end = block("elif", "else", "endif")
@@ -233,7 +234,7 @@ def _expression(node: Node, filters: Mapping[str, Callable[[str], str]]) -> Call
     return lambda context: as_text(left(context)) + as_text(right(context))
 
 
-Pieces = Iterator[tuple[str, bool]]
+Pieces = Iterator[tuple[str, bool | None]]
 
 
 def _statement(node: Node, learnt: bool, filters: Mapping) -> Callable[[dict], Pieces]:
@@ -246,6 +247,14 @@ def _statement(node: Node, learnt: bool, filters: Mapping) -> Callable[[dict], P
         return output
     if node.kind == "generation":
         return _statement(node.parts[0], True, filters)
+    if node.kind == "turn":
+        inside = _statement(node.parts[0], learnt, filters)
+
+        def turn(context: dict) -> Pieces:
+            yield from inside(context)
+            yield "", None
+
+        return turn
     if node.kind == "if":
         test = _expression(node.parts[0], filters)
         then, other = (_statement(p, learnt, filters) for p in node.parts[1:])
@@ -276,6 +285,7 @@ def _statement(node: Node, learnt: bool, filters: Mapping) -> Callable[[dict], P
 def compile_template(
     source: str, filters: Mapping[str, Callable[[str], str]] | None = None
 ) -> Callable[[dict], Pieces]:
-    """A function from a context to the rendered pieces, each with whether it is learnt."""
+    """A function from a context to the rendered pieces, each with whether it is learnt; an empty
+    piece with None is the end of a turn."""
     filters = filters or {}
     return _statement(fold(parse(source), filters), False, filters)
