@@ -3,18 +3,19 @@
 Features of a text are the distinct hashes, modulo ``2**BITS``, of its words, its pairs of
 neighbouring words and its pairs of words with one or two words between them. The model is learnt
 row by row with the follow-the-regularised-leader rule: a learning rate per coordinate, which falls
-as that coordinate's gradients add up, and an L1 term that leaves most weights exactly zero. What
-is left, features and weights, is small (at most one weight per coordinate) and travels with the
+as that coordinate's gradients add up, and an L1 term that leaves most weights exactly zero; the bias,
+which every row has, is free of it. What is left, features and weights, is small (at most one weight per coordinate) and travels with the
 tasks that score.
 
-Learning takes at most about ``SAMPLE`` labelled rows, chosen by a hash of their id: each
-labelled id is in or out whatever the other rows are, at a rate of ``SAMPLE`` by the number of
-labelled rows. One task learns from them in the order of that hash, over several passes. Scoring
+Learning takes at most about ``SAMPLE`` labels, chosen by a hash of their id: each labelled id is
+in or out whatever the other rows are, at a rate of ``SAMPLE`` by the number of distinct pairs of
+id and label. Equal labels of an id count once, with the least of its texts. One task learns from them in the order of that hash, over several passes. Scoring
 reads every whole text.
 
 Rows without a label teach nothing; null and empty texts have no features and score by the bias
-alone; labels that repeat an id count each; without any label the score is 0.5 for all. Rows are
-kept as they are, repeated ones too; rows with a null id are scored and not held out.
+alone; without labels of both kinds the model has no rows and the score is 0.5 for all. Texts of any
+length are read whole. Rows are kept as they are, repeated ones too; rows with a null id are scored
+and not held out. Columns with the names of the added ones are replaced. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import text_of
+from trendloom.session import settle
 
 BITS = 22
 SAMPLE = 12_000  # labelled rows, about
@@ -68,7 +70,8 @@ def learn(rows: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.nda
     def weights(at: np.ndarray) -> np.ndarray:
         zs, ns = z[at], n[at]
         rate = (BETA + np.sqrt(ns)) / ALPHA + L2
-        return np.where(np.abs(zs) <= L1, 0, (np.sign(zs) * L1 - zs) / rate)
+        zero = np.where(at == 1 << BITS, 0, L1)  # the bias is free
+        return np.where(np.abs(zs) <= zero, 0, (np.sign(zs) * zero - zs) / rate)
 
     for _ in range(PASSES):
         for found, label in zip(rows, labels):
@@ -97,12 +100,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id"))
     )
     order = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    known = settle(known.distinct())
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.withColumn("_order", order).filter(F.col("_order") < int(share * (1 << 30)))
     rows = (
         docs.select(F.col(key).alias("_id"), text_of(text).alias("text"))
         .join(F.broadcast(chosen), "_id")  # about ``sample`` rows of three numbers
-        .select("_order", "_id", "_label", "text")
+        .groupBy("_order", "_id", "_label")
+        .agg(F.min("text").alias("text"))  # one text per label
     )
 
     def extract(batches: Iterator) -> Iterator:
@@ -115,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 columns = [part.column("_order"), part.column("_label")]
                 names = ["_order", "_label", "features"]
                 yield pa.record_batch([*columns, pa.array(found, pa.list_(pa.int32()))], names=names)
+        _hashes.clear()
 
     def fit(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -124,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             found += batch.column("_label").to_pylist()
             values = batch.column("features")
             rows += [values[i].values.to_numpy().copy() for i in range(batch.num_rows)]
-        if rows:
+        if len(set(found)) == 2:
             used, weights = learn(rows, found)
             columns = [pa.array(used, pa.int64()), pa.array(weights, pa.float64())]
             yield pa.record_batch(columns, names=["feature", "weight"])
@@ -135,15 +141,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return one.mapInArrow(fit, "feature bigint, weight double")
 
 
-def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 as column ``name``, which is replaced if there."""
+def score(
+    docs: DataFrame, model: DataFrame, text: str = "text", name: str = "score", count: str = "n_features"
+) -> DataFrame:
+    """``docs`` with the probability of label 1 as column ``name`` and the number of features as
+    ``count``; columns of these names are replaced."""
     fitted = model.collect()  # at most one row per coordinate, few after L1
     at = np.array([r["feature"] for r in fitted], np.int64)
     weights = np.array([r["weight"] for r in fitted], np.float64)
     order = np.argsort(at)
     at, weights = at[order], weights[order]
     shared = docs.sparkSession.sparkContext.broadcast((at, weights))
-    kept = [c for c in docs.columns if c != name]
+    kept = [c for c in docs.columns if c not in (name, count)]
     kind = docs.select(F.struct(*kept).alias("row")).schema["row"].dataType.simpleString()
     rows = docs.select(F.struct(*kept).alias("row"), text_of(text).alias("text"))
 
@@ -154,11 +163,17 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "sc
         dense = np.zeros((1 << BITS) + 1)
         dense[at] = weights  # the bias is feature -1, the last place
         for batch in batches:
-            sums = [dense[features(t.as_py())].sum() + dense[-1] for t in batch.column("text")]
+            sums, sizes = [], []
+            for t in batch.column("text"):
+                found = features(t.as_py())
+                sums.append(dense[found].sum() + dense[-1])
+                sizes.append(len(found))
             chances = 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -500, 500)))
-            yield pa.record_batch([batch.column("row"), pa.array(chances)], names=["row", name])
+            columns = [batch.column("row"), pa.array(chances), pa.array(sizes, pa.int32())]
+            yield pa.record_batch(columns, names=["row", name, count])
+        _hashes.clear()
 
-    return rows.mapInArrow(judge, f"row {kind}, {name} double").select("row.*", name)
+    return rows.mapInArrow(judge, f"row {kind}, {name} double, {count} int").select("row.*", name, count)
 
 
 def rejected(chance: Column) -> Column:
