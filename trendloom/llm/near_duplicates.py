@@ -15,8 +15,8 @@ The first round has one pivot and settles buckets of copies of one text. Classes
 are put into finer buckets: of a class's shingles, the rarest first, only as many are kept as two
 sets at the threshold must share one of, and each is a bucket. The place of a shared shingle in
 that order bounds the similarity of a pair, as it is the first they share in one of their buckets.
-The number of pivots grows fourfold from round to round, so every pair that might still join two
-components gets compared, without a cap.
+The number of pivots grows fourfold from round to round, in rows of ``HEADS``, so every pair that
+might still join two components gets compared, without a cap.
 
 A pair is verified in steps. Sizes and shingles of their own that cannot reach the threshold fall
 out first. Then the
@@ -28,9 +28,10 @@ three words and 85 per cent (the defaults), the corpus pipeline five words and 8
 
 Words are runs of characters other than ASCII white space, with A-Z in lower case; a text of fewer
 than ``shingle`` words is one shingle; null texts and texts without words have none and are linked
-with nothing. Repeated rows are copies of each other; an id with several texts is one document, of
-which the text with the least digest is searched. Rows with a null id get their own component
-null and are kept, as nothing can be named after them. No rows give no rows.
+with nothing. Repeated rows are copies of each other; an id with several texts is one document, which
+links what any of its texts links. Rows with a null id get their own component null and are kept, as
+nothing can be named after them. Texts of any length are read whole. Other columns are not read. No
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ from trendloom.operators.ranking import first_per_group
 from trendloom.session import settle
 
 BANDS, ROWS = 20, 4
+HEADS = 64  # pivots in a row
 BATCH = 16  # of the signature, between two looks at the posterior
 MISS = 1e-9
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -287,15 +289,12 @@ def round_pairs(members: DataFrame, pivots: int, percent: int) -> tuple[DataFram
     of a bucket to its first members before the shuffle.
     """
     open_members = settle(undecided(members.withColumn("place", F.struct("own", "id"))))
-    heads = (
-        first_per_group(open_members, ["bucket"], [F.col("place")], pivots)
-        .groupBy("bucket")
-        .agg(
-            F.collect_list(F.struct("place", "component", "n")).alias("heads"),
-            F.max("place").alias("last"),
-        )
+    first = first_per_group(open_members, ["bucket"], [F.col("place")], pivots, "_number")
+    some = F.expr(f"(_number - 1) div {HEADS}")  # rows of pivots have a fixed size
+    heads = first.groupBy("bucket", some.alias("_some")).agg(
+        F.collect_list(F.struct("place", "component", "n")).alias("heads")
     )
-    joined = open_members.join(heads, "bucket")
+    joined = open_members.join(heads.drop("_some"), "bucket")
 
     def may_link(head: Column) -> Column:
         most = F.least(head["n"] - head["place"]["own"], F.col("n") - F.col("own"))
@@ -306,10 +305,26 @@ def round_pairs(members: DataFrame, pivots: int, percent: int) -> tuple[DataFram
         lambda h: (h["place"] < F.col("place")) & (h["component"] != F.col("component")) & may_link(h),
     )
     pairs = joined.select(F.explode(met).alias("head"), F.col("id").alias("b"))
-    rest = joined.filter(F.col("place") > F.col("last")).select("bucket", "id", "n", "own")
+    last = first.groupBy("bucket").agg(F.max("place").alias("last"))
+    rest = open_members.join(last, "bucket").filter(F.col("place") > F.col("last"))
+    rest = rest.select("bucket", "id", "n", "own")
     return pairs.select(F.col("head.place.id").alias("a"), "b").distinct(), rest
 
 
+def _ties(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a``, ``b``: links between the classes of one id."""
+    several = (
+        named.groupBy("id")
+        .agg(F.min("digest").alias("_first"), F.max("digest").alias("_last"))
+        .filter("_first < _last")
+        .select("id", "_first")
+    )
+    of_ids = settle(named.select("id", "digest").join(several, "id").distinct())
+    first = classes.select(F.col("digest").alias("_first"), F.col("id").alias("a"))
+    other = classes.select("digest", F.col("id").alias("b"))
+    return of_ids.join(first, "_first").join(other, "digest").filter("a <> b").select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
@@ -320,43 +335,46 @@ def near_duplicates(
     """Per row: the key, ``n_shingles`` (long), ``component_id`` (the smallest key reachable over
     links) and ``kept`` (it is that key)."""
     signed = settle(signatures(docs, shingle, key, text))
+    named = signed.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    # classes get numbers of their own, as one id may have several texts; written, they stay
     classes = settle(
-        signed.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
-        .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature"))
+        named.groupBy("digest")
+        .agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("signature").alias("signature"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    # one text per id is searched; a second text of an id belongs to the id's component anyway
-    searched = settle(first_per_group(classes, ["id"], [F.col("digest")]))
-    banded = buckets(searched)
+    banded = buckets(classes)
     shared = banded.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
     members = settle(banded.join(shared, "bucket"))
     candidates = settle(members.select("id").distinct())
-    signs = settle(searched.join(candidates, "id", "left_semi"))
+    signs = settle(classes.join(candidates, "id", "left_semi"))
     # full sets of the classes that share a bucket with another, each read once
     texts = docs.select(key, F.col(text).alias("text")).join(
-        candidates, F.col(key) == F.col("id"), "left_semi"
+        signs.select("least").distinct(), F.col(key) == F.col("least"), "left_semi"
     )
     sets = settle(
-        shingle_sets(texts.dropDuplicates(), shingle, key, "text").join(
-            signs.select("id", "digest"), ["id", "digest"], "left_semi"
-        )
+        shingle_sets(texts.dropDuplicates(), shingle, key, "text")
+        .withColumnRenamed("id", "least")
+        .join(signs.select("id", "least", "digest"), ["least", "digest"])
+        .select("id", "values")
     )
+    ties = settle(_ties(named, classes))
 
     sized = settle(
         signs.select("id", "digest", "n", "signature")
         .join(own_shingles(sets), "id", "left")
         .select("id", "n", "signature", F.coalesce("own", F.lit(0)).alias("own"))
     )
-    labels = candidates.select("id", F.col("id").alias("component"))
-    all_links, pivots = None, 1
+    tied = ties.select("a").unionByName(ties.select(F.col("b").alias("a"))).withColumnRenamed("a", "id")
+    nodes = settle(candidates.unionByName(tied).distinct())
+    labels, all_links, pivots = settle(components(nodes, ties)), ties, 1
     open_members = linkable(members.join(sized.select("id", "n", "own"), "id"), percent)
     while True:
         pairs, rest = round_pairs(open_members.join(labels, "id"), pivots, percent)
         pairs, rest = settle(pairs), settle(rest)
         if not pairs.isEmpty():
             found = settle(links(promising(pairs, sized, percent), sets, percent))
-            all_links = found if all_links is None else settle(all_links.unionByName(found))
-            labels = settle(components(candidates, all_links))
+            all_links = settle(all_links.unionByName(found))
+            labels = settle(components(nodes, all_links))
         if rest.isEmpty():
             break
         if pivots == 1:
@@ -366,8 +384,11 @@ def near_duplicates(
         open_members = rest
         pivots *= 4
 
-    of_class = classes.join(labels.withColumnRenamed("component", "_component"), "id", "left").select(
-        "digest", F.coalesce("_component", "id").alias("component")
+    # the smallest document of a component names it
+    placed = settle(classes.select("id", "digest", "least").join(labels, "id", "left"))
+    names = placed.filter("component is not null").groupBy("component").agg(F.min("least").alias("_name"))
+    of_class = placed.join(names, "component", "left").select(
+        "digest", F.coalesce("_name", "least").alias("component")
     )
     out = signed.select("id", "digest", F.col("n").cast("long").alias("n_shingles")).join(
         of_class, "digest", "left"
