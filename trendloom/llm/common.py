@@ -18,6 +18,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows`` (settled, of a few numbers each) marked to be broadcast if there are at most
+    ``most``; larger sides are joined by shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def pieces_of(total: int, each: int) -> int:
     """How many pieces of about ``each`` make up ``total``; at least one."""
     return max(1, -(-int(total or 0) // each))
