@@ -74,11 +74,11 @@ def op3_sharding(spark, sf):
 
 @query
 def op4_decontamination(spark, sf):
-    judged = decontamination.contamination(
+    judged = decontamination.judge(
         table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
     )
     return judged.select(
-        "doc_id",
+        F.col("doc").alias("doc_id"),
         "n_words",
         "n_hit",
         "n_items",
