@@ -7,10 +7,10 @@ for each window it leads, so ROLLUP over the columns sums its occurrences from t
 windows, and the sum over all windows of a language is its number of words.
 
 Most windows of a large corpus are unique and would be shuffled for nothing: a phrase can only reach
-``least`` occurrences if each pair of neighbours in it does. Pairs are counted first, by their hash;
-a window ends before the first pair that stays below. Which pairs reach it, the tasks look up in a
-Bloom filter of at most ``FILTER_BITS`` bits. Pairs it lets through by mistake, or because so many
-are frequent that it is full, only make windows longer: their counts decide in the end.
+``least`` occurrences if all its parts do. Two, then three words in a row are counted by their hash
+first; a window ends before the first that stay below. Which reach it, the tasks look up in Bloom
+filters of at most ``FILTER_BITS`` bits. What these let through by mistake, or because so many are
+frequent that they are full, only makes windows longer: the windows' counts alone decide.
 
 Words are in lower case (A-Z only). Null texts are empty; languages that are null are ``und``;
 repeated rows count each; texts of any length are read in slices. No rows give no phrases. Ties
@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import text_of
-from trendloom.operators.ranking import first_per_group
+from trendloom.operators.ranking import with_position
 from trendloom.session import settle
 
 LONGEST = 4  # words of a window
 LEAST = 30  # occurrences of a candidate
 TOP = 2000  # phrases of a language
-FILTER_BITS = 1 << 27  # of the broadcast filter: 16 MB
+FILTERED = (2, 3)  # words in a row that are counted by hash first
+FILTER_BITS = 1 << 27  # of a broadcast filter: 16 MB
 SLICE = 1 << 21  # bytes looked at together
 MARKS = b".,;:!?\n\x0b\x0c\r"
 # every mark becomes a full stop, which no word holds then; tabs become spaces
@@ -84,18 +85,42 @@ def numbered(data: bytes, upto: int) -> tuple[list[bytes], np.ndarray, int]:
     return list(code), ids, counted
 
 
-def pair_hashes(lang: str, words: list[bytes], first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs of words, given by their numbers."""
+def gram_hashes(lang: str, words: list[bytes], ids: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the ``width`` words from each place on; those beyond the end count as marks."""
     from xxhash import xxh3_64_intdigest
 
-    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    own = np.uint64(xxh3_64_intdigest(lang.encode()))
-    mixed = (h[first] ^ own) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) + h[second] * np.uint64(0xC2B2AE3D27D4EB4F)
+    known = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    each = np.concatenate([known[ids], np.zeros(width, np.uint64)])
+    mixed = np.full(len(ids), xxh3_64_intdigest(lang.encode()), np.uint64)
+    for i in range(width):  # depends on the order of the words
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + each[i : i + len(ids)]
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    size = np.uint64(64 * len(words) - 1)
+    found = np.ones(len(hashes), bool)
+    for bit in (hashes & size, (hashes >> np.uint64(36)) & size):
+        found &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
+def possible(
+    lang: str, words: list[bytes], ids: np.ndarray, filters: dict[int, np.ndarray], width: int
+) -> Iterator[np.ndarray]:
+    """For 1, 2 … ``width`` words: where so many of one piece begin whose parts all pass the
+    ``filters`` (by width)."""
+    found = ids > 0
+    yield found
+    for size in range(2, width + 1):
+        found = found & np.append(found[1:], False)
+        if size in filters:
+            at = np.flatnonzero(found)
+            found[at] = in_filter(filters[size], gram_hashes(lang, words, ids, size)[at])
+        yield found
+
+
 def _by_lang(batch) -> Iterator[tuple[str, bytes, int]]:
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -105,8 +130,10 @@ def _by_lang(batch) -> Iterator[tuple[str, bytes, int]]:
             yield lang, data, upto
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """``pair`` (hash) and ``n`` of each pair of neighbouring words, per slice of text."""
+def gram_counts(texts: DataFrame, width: int, filters: dict[int, np.ndarray]) -> DataFrame:
+    """``gram`` (hash) and ``n`` of the ``width`` words in a row that pass the ``filters``, per
+    slice of text."""
+    shared = texts.sparkSession.sparkContext.broadcast(filters)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -114,27 +141,26 @@ def pair_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, data, upto in _by_lang(batch):
                 words, ids, counted = numbered(data, upto)
-                first, second = ids[:counted], np.append(ids[1:], 0)[:counted]
-                both = (first > 0) & (second > 0)
-                codes, n = np.unique(first[both] * len(words) + second[both], return_counts=True)
-                pairs = pair_hashes(lang, words, codes // len(words), codes % len(words))
-                yield pa.record_batch([pa.array(pairs.view(np.int64)), pa.array(n)], names=["pair", "n"])
+                *_, found = possible(lang, words, ids, shared.value, width)
+                at = np.flatnonzero(found[:counted])
+                grams, n = np.unique(gram_hashes(lang, words, ids, width)[at], return_counts=True)
+                yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    return texts.mapInArrow(count, "pair bigint, n bigint")
+    return texts.mapInArrow(count, "gram bigint, n bigint")
 
 
-def _bits(pair: Column, size: int) -> list[Column]:
-    """The two places of a pair in a filter of ``size`` bits, a power of two."""
-    return [pair.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(pair, 36).bitwiseAND(F.lit(size - 1))]
+def _bits(gram: Column, size: int) -> list[Column]:
+    """The two places of a hash in a filter of ``size`` bits, a power of two."""
+    return [gram.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(gram, 36).bitwiseAND(F.lit(size - 1))]
 
 
-def bloom_filter(pairs: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
-    """64-bit words of a filter of the pairs' hashes: 16 bits a pair, ``most_bits`` at most."""
+def bloom_filter(grams: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """64-bit words of a filter of the hashes: 16 bits each, ``most_bits`` at most."""
     size = 64
-    wanted = min(16 * pairs.count(), most_bits)
+    wanted = min(16 * grams.count(), most_bits)
     while size < wanted:
         size *= 2
-    each = pairs.select(F.explode(F.array(*_bits(F.col("pair"), size))).alias("bit"))
+    each = grams.select(F.explode(F.array(*_bits(F.col("gram"), size))).alias("bit"))
     held = each.groupBy(F.shiftright("bit", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
     )
@@ -144,39 +170,23 @@ def bloom_filter(pairs: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
     return words
 
 
-def in_filter(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    size = np.uint64(64 * len(words) - 1)
-    found = np.ones(len(pairs), bool)
-    for bit in (pairs & size, (pairs >> np.uint64(36)) & size):
-        found &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return found
-
-
-def window_counts(texts: DataFrame, pairs: DataFrame, most_bits: int = FILTER_BITS) -> DataFrame:
+def window_counts(texts: DataFrame, filters: dict[int, np.ndarray]) -> DataFrame:
     """``lang``, ``w1`` … and ``n``: the padded longest windows of each slice of text, counted.
-    Windows end before a pair that is not among the ``pairs``."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(bloom_filter(pairs, most_bits))
+    Windows end before what does not pass the ``filters``."""
+    shared = texts.sparkSession.sparkContext.broadcast(filters)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        frequent = shared.value
         for batch in batches:
             for lang, data, upto in _by_lang(batch):
                 words, ids, counted = numbered(data, upto)
-                following = np.append(ids[1:], 0)
-                # does the pair that starts here go on?
-                codes, which = np.unique(ids * len(words) + following, return_inverse=True)
-                a, b = codes // len(words), codes % len(words)
-                goes_on = ((a > 0) & (b > 0) & in_filter(frequent, pair_hashes(lang, words, a, b)))[which]
                 at = np.flatnonzero(ids[:counted])
                 padded = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
-                open_windows = np.concatenate([goes_on, np.zeros(LONGEST, bool)])
-                columns, still = [ids[at]], np.ones(len(at), bool)
-                for i in range(1, LONGEST):
-                    still = still & open_windows[at + i - 1]
-                    columns.append(np.where(still, padded[at + i], 0))
+                columns = [
+                    np.where(found[at], padded[at + i], 0)
+                    for i, found in enumerate(possible(lang, words, ids, shared.value, LONGEST))
+                ]
                 rows, n = count_rows(columns, len(words))
                 names = pa.array([None, *words[1:]], pa.binary()).cast(pa.string())
                 yield pa.record_batch(
@@ -214,10 +224,12 @@ def phrase_counts(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         text_of(text).cast("binary").alias("text"),
     )
-    pairs = settle(
-        pair_counts(texts).groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("pair")
-    )
-    windows = settle(window_counts(texts, pairs, most_bits).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")))
+    filters: dict[int, np.ndarray] = {}
+    for width in FILTERED:
+        grams = gram_counts(texts, width, filters).groupBy("gram").agg(F.sum("n").alias("n"))
+        frequent = settle(grams.filter(F.col("n") >= least).select("gram"))
+        filters = {**filters, width: bloom_filter(frequent, most_bits)}
+    windows = settle(window_counts(texts, filters).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")))
     rolled = windows.rollup("lang", *WORDS).agg(F.sum("n").alias("a"), F.grouping_id().alias("_rolled"))
     # the columns rolled up are the set bits of the grouping's number, from the right
     size = F.lit(LONGEST) - F.bit_count("_rolled").cast("int")
@@ -277,10 +289,10 @@ def collocations(
     ``l``, ``r``, ``n`` (words of the language) and ``score``, all numbers long."""
     counts = settle(phrase_counts(docs, least, text, lang))
     kept = scored(counts).join(absorbed(counts, percent), ["lang", "phrase"], "left_anti")
+    # ranks from places in one order of all languages: no language is brought into one task
+    placed = with_position(kept, [F.col("lang"), F.desc("score"), F.desc("a"), F.asc("phrase")])
+    starts = placed.groupBy("lang").agg(F.min("position").alias("_start"))
     totals = counts.filter("size = 0").select("lang", F.col("a").alias("n"))
-    first = first_per_group(
-        kept, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "rank"
-    )
-    return first.join(totals, "lang").select(
-        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
-    )
+    of_lang = settle(starts.join(totals, "lang"))
+    ranked = placed.join(of_lang, "lang").withColumn("rank", F.col("position") - F.col("_start") + 1)
+    return ranked.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
