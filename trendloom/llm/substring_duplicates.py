@@ -33,7 +33,7 @@ from trendloom.llm.common import text_of
 from trendloom.session import settle
 
 WINDOW = 200
-LOCAL = 20_000  # runs of a group that one task sorts
+LOCAL = 5_000  # runs of a group that one task sorts, with some 60 MB
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:

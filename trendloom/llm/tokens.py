@@ -21,7 +21,7 @@ PIECES = re.compile(
 )
 # characters for which both patterns agree: no other letters, numbers or kinds of white space
 PLAIN = re.compile("[\x00-\x1b -~¡-±´-¸º»¿-ɏ]*")
-KEPT_PIECES = 600_000  # of a worker; the store starts anew beyond it
+KEPT_PIECES = 120_000  # of a worker, some 25 MB; the store starts anew beyond it
 
 
 def byte_letters() -> dict[int, str]:
