@@ -42,7 +42,7 @@ def _escaped_sql(column: str) -> str:
 view("cleaned", f"""
 SELECT id, creation_date, update_date, {_cleaning_sql(_accents_sql('title'))} AS title,
        {_cleaning_sql(_accents_sql('abstract'))} AS abstract, categories
-FROM snapshot WHERE year(creation_date) >= 2000 AND update_date > CAST('2012-03-01' AS DATE)""", "snapshot")
+FROM snapshot""", "snapshot")
 
 _WITHDRAWN_SQL = " OR ".join(f"starts_with(abstract, {_quoted(p)})" for p in text.WITHDRAWN)
 
@@ -61,7 +61,8 @@ view("stages", f"""
 SELECT c.id, CASE WHEN {_WITHDRAWN_SQL.replace('abstract', 'c.abstract')} THEN 'withdrawn' WHEN length(c.abstract) < 64 THEN 'short'
                   WHEN length(t.abstract) > 1024 THEN 'untrimmable' ELSE 'imported' END AS stage,
        c.title, t.abstract, CAST(length(t.abstract) AS INT) AS abstract_length, c.creation_date, c.update_date, c.categories
-FROM cleaned c JOIN trimmed t ON t.id = c.id""", "cleaned", "trimmed")
+FROM cleaned c JOIN trimmed t ON t.id = c.id
+WHERE year(c.creation_date) >= 2000 AND c.update_date > CAST('2012-03-01' AS DATE)""", "cleaned", "trimmed")
 
 MARK = "2012-03-01"
 
@@ -70,6 +71,11 @@ def _filtered(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.filter_since(ingest.with_creation(views.snapshot(spark, sf)), 2000, MARK)
 
 
+def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record, cleaned."""
+    return ingest.clean(ingest.with_creation(views.snapshot(spark, sf)))
+
+
 def _stages(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.clean_snapshot(views.snapshot(spark, sf), 2000, MARK)
 
@@ -110,19 +116,19 @@ def clean_text(spark, sf):
 @query("SELECT id, CAST(count(*) AS INT) AS sentences, string_agg(sentence, '|' ORDER BY i) AS text FROM sentences GROUP BY id", "sentences")
 def split_sentences(spark, sf):
     split = text.split_sentences(F.col("abstract"))
-    return ingest.clean(_filtered(spark, sf)).select(
+    return _cleaned(spark, sf).select(
         "id", F.size(split).alias("sentences"), F.array_join(split, "|").alias("text")
     )
 
 
 @query("SELECT id, abstract FROM trimmed", "trimmed")
 def trim_sentences(spark, sf):
-    return ingest.trim(ingest.clean(_filtered(spark, sf))).select("id", "abstract")
+    return ingest.trim(_cleaned(spark, sf)).select("id", "abstract")
 
 
 @query("SELECT id, CAST(length(abstract) AS INT) AS abstract_length FROM trimmed", "trimmed")
 def abstract_length(spark, sf):
-    return ingest.trim(ingest.clean(_filtered(spark, sf))).select("id", "abstract_length")
+    return ingest.trim(_cleaned(spark, sf)).select("id", "abstract_length")
 
 
 @query(f"""SELECT doc_id, abstract FROM (SELECT doc_id, CASE WHEN quality = 0 THEN ' This paper has been withdrawn. '
@@ -142,12 +148,12 @@ def filter_withdrawn(spark, sf):
 
 @query("SELECT id FROM cleaned WHERE length(abstract) > 63", "cleaned")
 def filter_short(spark, sf):
-    return ingest.filter_short(ingest.clean(_filtered(spark, sf))).select("id")
+    return ingest.filter_short(_cleaned(spark, sf)).select("id")
 
 
 @query("SELECT id FROM trimmed WHERE length(abstract) <= 1024", "trimmed")
 def filter_untrimmable(spark, sf):
-    return ingest.filter_untrimmable(ingest.trim(ingest.clean(_filtered(spark, sf)))).select("id")
+    return ingest.filter_untrimmable(ingest.trim(_cleaned(spark, sf))).select("id")
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (stage = 'imported') AS imported, count(*) FILTER (stage = 'withdrawn') AS withdrawn,

@@ -10,6 +10,8 @@ from trendloom.operators import hierarchy
 from trendloom.operators import topics as ops
 from trendloom.plans import views
 from trendloom.plans.registry import query, view
+from trendloom.session import settle, work_dir
+from trendloom.sources import records
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
@@ -47,6 +49,38 @@ view("similarity", """
 SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, sum(a.unit * b.unit) AS similarity
 FROM units a JOIN units b ON a.term = b.term AND a.topic_id < b.topic_id GROUP BY ALL""", "units")
 
+# merging the closest pair again and again; a row per step, with the clusters that are left
+view("merges", """
+SELECT 0 AS step, CAST(NULL AS BIGINT) AS left_id, CAST(NULL AS BIGINT) AS right_id, CAST(NULL AS BIGINT) AS parent_id,
+       CAST([] AS BIGINT[]) AS topics, CAST(0 AS DOUBLE) AS d,
+       (SELECT list({'node': CAST(topic_id AS BIGINT), 'w': CAST(0 AS DOUBLE), 'members': [CAST(topic_id AS BIGINT)]}) FROM merged_topics) AS clusters
+UNION ALL
+SELECT step + 1, l, r, top + step + 1, list_sort(list_concat(ml, mr)), d,
+       list_append(list_filter(clusters, lambda c: c.node <> l AND c.node <> r),
+                   {'node': top + step + 1, 'w': w, 'members': list_concat(ml, mr)})
+FROM (
+  SELECT *, row_number() OVER (ORDER BY d, l, r) AS place FROM (
+    SELECT any_value(x.step) AS step, any_value(x.clusters) AS clusters, x.c.node AS l, y.c.node AS r,
+           any_value(x.c.members) AS ml, any_value(y.c.members) AS mr, any_value(x.c.w) + any_value(y.c.w) + sum(e) AS w,
+           round((2 * sum(e) - 2 * any_value(len(x.c.members) * len(y.c.members)
+             * (x.c.w / len(x.c.members) ** 2 + y.c.w / len(y.c.members) ** 2)))
+             / any_value(len(x.c.members) + len(y.c.members)), 12) AS d
+    FROM (SELECT step, clusters, unnest(clusters) AS c FROM merges) x
+    JOIN (SELECT unnest(clusters) AS c FROM merges) y ON x.c.node < y.c.node
+    JOIN topic_squares p ON list_contains(x.c.members, p.a) AND list_contains(y.c.members, p.b)
+    GROUP BY x.c.node, y.c.node)), (SELECT CAST(max(topic_id) AS BIGINT) AS top FROM merged_topics)
+WHERE place = 1""", "merged_topics", "topic_squares")
+
+view("merged_topics", "SELECT DISTINCT topic_id FROM weights WHERE topic_id <> -1", "weights")
+
+view("topic_squares", """
+SELECT x.topic_id AS a, y.topic_id AS b, (1 - coalesce(similarity, 0)) ** 2 AS e
+FROM merged_topics x JOIN merged_topics y ON x.topic_id <> y.topic_id
+LEFT JOIN similarity ON topic_a = least(x.topic_id, y.topic_id) AND topic_b = greatest(x.topic_id, y.topic_id)""", "merged_topics", "similarity")
+
+view("tree", """
+SELECT parent_id, topics, left_id, right_id, round(sqrt(greatest(d, 0)), 9) AS distance FROM merges WHERE step > 0""", "merges")
+
 view("runs", f"""
 SELECT doc_id, run, list_filter(part, lambda x: x NOT IN ({_STOP})) AS p FROM (
   SELECT doc_id, run, list_slice(w, run, run + 3) AS part FROM (
@@ -245,18 +279,50 @@ def mmr_keywords(spark, sf):
     return ops.mmr_keywords(_weights(spark, sf))
 
 
-@query()
-def topic_hierarchy(spark, sf):
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
     weights = _weights(spark, sf)
-    tree = hierarchy.topic_hierarchy(weights.select("topic_id"), ops.topic_similarity(weights))
-    return tree.withColumn("distance", F.round("distance", 9))
+    return hierarchy.topic_hierarchy(weights.select("topic_id"), ops.topic_similarity(weights))
 
 
-@query()
+def _shown(tree: DataFrame) -> DataFrame:
+    """The smaller number on the left, lists as text."""
+    return tree.select(
+        "parent_id",
+        F.array_join(F.transform("topics", lambda t: t.cast("string")), ",").alias("topics"),
+        F.least("left_id", "right_id").alias("left_id"),
+        F.greatest("left_id", "right_id").alias("right_id"),
+        F.round("distance", 9).alias("distance"),
+    )
+
+
+@query("SELECT parent_id, array_to_string(topics, ',') AS topics, left_id, right_id, distance FROM tree", "tree", recursive=True)
+def topic_hierarchy(spark, sf):
+    return _shown(_tree(spark, sf))
+
+
+# half of the merges are close: the bound lies between the two in the middle
+MIDDLE = "SELECT median(distance) AS bound FROM tree"
+
+
+@query(f"""SELECT parent_id, array_to_string(topics, ',') AS topics, left_id, right_id, distance FROM tree, ({MIDDLE}) WHERE distance < bound
+           AND parent_id NOT IN (SELECT unnest([left_id, right_id]) FROM tree, ({MIDDLE}) WHERE distance < bound)""", "tree", recursive=True)
 def maximal_merges(spark, sf):
-    weights = _weights(spark, sf)
-    tree = hierarchy.topic_hierarchy(weights.select("topic_id"), ops.topic_similarity(weights))
-    return ops.maximal_merges(tree, 1.0)
+    """Groups of topics below the median distance of all merges."""
+    tree = settle(_tree(spark, sf).withColumn("distance", F.round("distance", 9)))
+    bound = tree.agg(F.median("distance")).first()[0]
+    return _shown(ops.maximal_merges(tree, bound or 0.0))
+
+
+@query("""SELECT form, parent_id, array_to_string(topics, ',') AS topics, left_id, right_id, distance
+          FROM tree, (SELECT unnest(['parquet', 'tsv']) AS form)""", "tree", recursive=True)
+def topic_tree(spark, sf):
+    """The merge tree as it is read back from each kind of file."""
+    tree, found = settle(_tree(spark, sf)), []
+    for form in ("parquet", "tsv"):
+        path = work_dir(spark, "tree")
+        records.write_topic_tree(tree, path, form)
+        found.append(_shown(records.read_topic_tree(spark, path, form)).withColumn("form", F.lit(form)))
+    return found[0].unionByName(found[1])
 
 
 @query("""SELECT CAST(topic_a AS BIGINT) AS left_id, CAST(topic_b AS BIGINT) AS right_id, round(1 - similarity, 9) AS distance
@@ -269,8 +335,22 @@ def max_cluster_distance(spark, sf):
     return ops.max_cluster_distance(pairs, 0.5).withColumn("distance", F.round("distance", 9))
 
 
-@query()
+@query("""SELECT 'similarity' AS part, CAST(topic_a AS BIGINT) AS first, CAST(topic_b AS BIGINT) AS second, NULL::VARCHAR AS words, round(similarity, 9) AS value FROM similarity
+          UNION ALL SELECT 'barchart', CAST(topic_id AS BIGINT), CAST(rank AS BIGINT), term, round(weight, 9) FROM top_terms
+            WHERE rank <= 5 AND topic_id IN (SELECT topic_id FROM sizes WHERE topic_id <> -1 ORDER BY size DESC, topic_id LIMIT 8)
+          UNION ALL SELECT 'hierarchy', left_id, right_id, array_to_string(topics, ','), distance FROM tree""", "similarity top_terms sizes tree", recursive=True)
 def evaluate_model(spark, sf):
+    """The data of all three figures, one below the other."""
     docs = views.docs(spark, sf)
     parts = hierarchy.evaluate_model(docs, _weights(spark, sf), True, True, True)
-    return parts["hierarchy"].select("parent_id", "left_id", "right_id", F.round("distance", 9).alias("distance"))
+
+    def rows(part: str, first: str, second: str, words, value: str) -> DataFrame:
+        numbers = (F.col(c).cast("bigint").alias(n) for c, n in ((first, "first"), (second, "second")))
+        return parts[part].select(
+            F.lit(part).alias("part"), *numbers, words.cast("string").alias("words"), F.round(value, 9).alias("value")
+        )
+
+    heat = rows("similarity", "topic_a", "topic_b", F.lit(None), "similarity")
+    bars = rows("barchart", "topic_id", "rank", F.col("term"), "weight")
+    parts["hierarchy"] = _shown(parts["hierarchy"])
+    return heat.unionByName(bars).unionByName(rows("hierarchy", "left_id", "right_id", F.col("topics"), "distance"))
