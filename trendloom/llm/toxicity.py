@@ -175,7 +175,7 @@ def score(
     shared = docs.sparkSession.sparkContext.broadcast((at, weights))
     kept = [c for c in docs.columns if c not in (name, count)]
     kind = docs.select(F.struct(*kept).alias("row")).schema["row"].dataType.simpleString()
-    rows = docs.select(F.struct(*kept).alias("row"), text_of(text).alias("text"))
+    rows = docs.select(F.struct(*kept).alias("row"))  # the text travels once
 
     def judge(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -185,8 +185,8 @@ def score(
         dense[at] = weights  # the bias is feature -1, the last place
         for batch in batches:
             sums, sizes = [], []
-            for t in batch.column("text"):
-                found = features(t.as_py())
+            for t in batch.column("row").field(text):
+                found = features(str(t.as_py() or ""))
                 sums.append(dense[found].sum() + dense[-1])
                 sizes.append(len(found))
             chances = 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -500, 500)))
