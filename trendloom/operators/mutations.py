@@ -94,6 +94,36 @@ def import_topics(
     return _import_links(all_topics, paper_topics, model, rows, TRAINED)
 
 
+def import_models(
+    topic: DataFrame, paper_topics: DataFrame, hierarchy: int, topics: DataFrame, assignments: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Store several new models at once: ``import_topics`` with a ``model`` beside each topic and
+    assignment. Only the counts of the models' topics are worked out."""
+    described = topics.select(
+        F.lit(None).cast("bigint").alias("parent_id"),
+        F.lit(hierarchy).alias("hierarchy"),
+        "model",
+        F.col("topic_id").cast("int").alias("orig_id"),
+        "name",
+        "llm_label",
+    )
+    fresh = new_rows(topic, described, KEYS["topic"])
+    added = settle(assign_ids(topic, fresh, [F.asc("model"), F.asc("orig_id")]))
+    own = added.select("model", F.col("orig_id").alias("topic_id"), F.col("id").alias("_row_id"))
+    links = settle(
+        dedup_by_key(
+            assignments.join(own, ["model", "topic_id"]).select(
+                "paper_id", F.col("_row_id").alias("topic_id"), "probability", F.lit(TRAINED).alias("transformed")
+            ),
+            KEYS["paper_topics"],
+            [F.desc("probability")],
+        )
+    )
+    counts = links.groupBy(F.col("topic_id").alias("id")).agg(F.count("*").alias("paper_count"))
+    counted = added.join(counts, "id", "left").withColumn("paper_count", F.coalesce("paper_count", F.lit(0).cast("bigint")))
+    return topic.unionByName(counted.select(*topic.columns)), paper_topics.unionByName(links.select(*paper_topics.columns))
+
+
 def import_assignments(
     topic: DataFrame, paper_topics: DataFrame, model: str, assignments: DataFrame,
     distributed: bool = False,

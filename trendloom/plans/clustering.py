@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import clusters, neighbours
 from trendloom.operators import topics as topic_ops
-from trendloom.plans import topics, training, views  # noqa: F401  (views of topics are used)
-from trendloom.plans.registry import query
+from trendloom.plans import subsets, topics, training, vectors, views  # noqa: F401  (their views are used)
+from trendloom.plans.registry import query, view
 from trendloom.session import settle, work_dir
 from trendloom.sources import tables
 
@@ -35,6 +35,56 @@ def train_model(spark, sf):
     return topic.select("id", "hierarchy", "model", "orig_id", "name", "llm_label", "paper_count")
 
 
+# members of archives and large categories, their neighbours within the subset, and clusters of these
+SUBSETS = training.Settings(neighbours=6, min_samples=2, min_cluster_size=3, eps=0.7)
+
+view("subset_members", """
+WITH totals AS (SELECT archive, sum(paper_count) AS papers FROM category GROUP BY archive)
+SELECT DISTINCT CASE WHEN papers > 1000 AND paper_count > 500 THEN name ELSE archive END AS subset, paper_id AS id
+FROM category JOIN totals USING (archive) JOIN paper_categories ON category_id = category.id
+JOIN paper_vectors p ON p.id = paper_id AND embedding IS NOT NULL""", "category", "paper_categories", "paper_vectors")
+
+view("subset_knn", """
+SELECT * FROM (
+  SELECT a.subset, a.id, p.neighbour, p.distance, row_number() OVER (PARTITION BY a.subset, a.id ORDER BY p.distance, p.neighbour) AS rank
+  FROM subset_members a JOIN cosine_pairs p ON p.id = a.id JOIN subset_members b ON b.subset = a.subset AND b.id = p.neighbour)
+WHERE rank <= 6""", "subset_members", "cosine_pairs")
+
+view("subset_core", "SELECT subset, id, max(distance) AS core FROM subset_knn WHERE rank <= 2 GROUP BY ALL", "subset_knn")
+
+view("subset_edges", """
+SELECT k.subset, k.id AS a, neighbour AS b FROM subset_knn k
+JOIN subset_core c ON c.subset = k.subset AND c.id = k.id JOIN subset_core d ON d.subset = k.subset AND d.id = k.neighbour
+WHERE greatest(distance, c.core, d.core) <= 0.7""", "subset_knn", "subset_core")
+
+view("subset_reached", """
+SELECT subset, id AS root, id FROM subset_core
+UNION
+SELECT r.subset, r.root, CASE WHEN e.a = r.id THEN e.b ELSE e.a END
+FROM subset_reached r JOIN subset_edges e ON e.subset = r.subset AND (e.a = r.id OR e.b = r.id)""", "subset_core", "subset_edges")
+
+view("subset_topics", """
+SELECT subset, root, n, CASE WHEN n >= 3 THEN row_number() OVER (PARTITION BY subset ORDER BY n DESC, root) - 1 ELSE -1 END AS orig_id
+FROM (SELECT subset, root, count(*) AS n FROM (SELECT subset, id, min(root) AS root FROM subset_reached GROUP BY ALL) GROUP BY ALL)""", "subset_reached")
+
+
+@query("""SELECT 'subset_' || subset AS model, -1 AS hierarchy, CAST(orig_id AS INT) AS orig_id, CAST(sum(n) AS BIGINT) AS paper_count,
+                 CASE WHEN orig_id = -1 THEN coalesce(name, subset) END AS outliers
+          FROM subset_topics LEFT JOIN (SELECT DISTINCT archive AS code, 'all of ' || archive AS name FROM category) ON code = subset
+          GROUP BY ALL""", "subset_topics category", recursive=True)
+def train_subset_models(spark, sf):
+    """Topics of the models of all subsets; archives have names, categories of their own none."""
+    papers = views.paper_vectors(spark, sf).withColumn("abstract", F.col("title"))
+    category = settle(views.category(spark, sf))
+    names = category.select(F.col("archive").alias("code"), F.concat(F.lit("all of "), "archive").alias("name")).distinct()
+    store = _empty(spark, "topic", "paper_topics")
+    topic, _ = subsets.train_subset_models(
+        papers, category, views.paper_categories(spark, sf), *store, 1000, 500, SUBSETS, names
+    )
+    label = F.when(F.col("orig_id") == -1, F.col("llm_label")).alias("outliers")
+    return topic.select("model", "hierarchy", "orig_id", "paper_count", label)
+
+
 @query()
 def transform_papers(spark, sf):
     """Two thirds of the classes train a model that the rest is assigned to."""

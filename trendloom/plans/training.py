@@ -133,12 +133,20 @@ def train_model(
 def train_subset_models(
     paper: DataFrame, category: DataFrame, paper_categories: DataFrame, topic: DataFrame,
     paper_topics: DataFrame, topic_stats: DataFrame, archive_max: int, category_min: int, settings: Settings,
+    names: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """One model per subset of the categories; subsets that have one are left out.
 
-    Subsets are few (archives and their largest categories), so their names pass the driver; each
-    is trained by jobs of its own.
+    All are trained together. Settings that change a model after its clusters are known (merged
+    topics, moved outliers) or compare bits need a run per subset: subsets are few (archives and
+    their largest categories), so their names pass the driver then.
     """
+    if settings.reduce_distance is None and settings.outlier_threshold >= 1 and not settings.binary:
+        from trendloom.plans import subsets as together
+
+        return together.train_subset_models(
+            paper, category, paper_categories, topic, paper_topics, archive_max, category_min, settings, names
+        )
     subsets = settle(catalog.subset_map(category, archive_max, category_min))
     names = [row["subset"] for row in subsets.select("subset").distinct().orderBy("subset").collect()]
     for name in names:
