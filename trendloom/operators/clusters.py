@@ -184,6 +184,13 @@ def validity_score(clusters: DataFrame, forest: DataFrame, keys: Sequence[str] =
     )
 
 
+def best_setting(scores: DataFrame, min_clusters: int) -> tuple[int, int] | None:
+    """(min_samples, min_cluster_size) of the best row of a sweep's scores, None if none will do."""
+    fit = scores.filter((F.col("score") > 0) & (F.col("clusters") >= min_clusters))
+    best = fit.orderBy(F.desc(F.round("score", 12)), "min_samples", "min_cluster_size").first()
+    return None if best is None else (best["min_samples"], best["min_cluster_size"])
+
+
 def cluster_sweep(
     neighbours: DataFrame, min_samples: Sequence[int], min_cluster_sizes: Sequence[int],
     min_clusters: int, eps: float,
@@ -191,7 +198,7 @@ def cluster_sweep(
     """(scores, clusters): every pair of settings scored, and the clusters of the best pair.
 
     The graph, its components and its forest are worked out once for all ``min_samples``; sizes
-    only decide which components count. The best pair has the highest score above 0 with enough
+    only decide which components count. Both lists are in ascending order. The best pair has the highest score above 0 with enough
     clusters, the earliest on a tie (``min_samples`` varies slowest).
     """
     cores = [core_distance(neighbours, s).withColumn("run", F.lit(i)) for i, s in enumerate(min_samples)]

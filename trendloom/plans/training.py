@@ -15,7 +15,11 @@ from trendloom.session import settle
 
 @dataclass(frozen=True)
 class Settings:
-    """How a model is trained. ``probes`` limits the neighbour search, None searches exactly."""
+    """How a model is trained. ``probes`` limits the neighbour search, None searches exactly.
+
+    ``sweep_samples`` and ``sweep_sizes``, both ascending, replace ``min_samples`` and
+    ``min_cluster_size`` by the pair with the best validity among those with ``min_clusters``.
+    """
 
     neighbours: int = 24
     min_samples: int = 8
@@ -28,6 +32,9 @@ class Settings:
     binary: bool = False
     outlier_threshold: float = 1.0
     reduce_distance: float | None = None
+    sweep_samples: tuple[int, ...] = ()
+    sweep_sizes: tuple[int, ...] = ()
+    min_clusters: int = 1
 
 
 @dataclass(frozen=True)
@@ -39,15 +46,15 @@ class Model:
     weights: DataFrame
 
 
-def _neighbours(papers: DataFrame, settings: Settings) -> DataFrame:
-    if settings.binary:
-        from trendloom.functions.scalars import quantize_bits
+def _neighbours(papers: DataFrame, settings: Settings, k: int | None = None, others: DataFrame | None = None) -> DataFrame:
+    """The nearest by the metric of the settings, among the papers themselves or ``others``."""
+    from trendloom.functions.scalars import quantize_bits
 
-        codes = papers.select("id", quantize_bits(F.col("embedding")).alias("codes"))
-        return neighbours.knn_hamming(codes, settings.neighbours, probes=settings.probes)
-    return neighbours.knn_cosine(
-        papers.select("id", "embedding"), settings.neighbours, probes=settings.probes
-    )
+    shape, search = F.col("embedding"), neighbours.knn_cosine
+    if settings.binary:
+        shape, search = quantize_bits(F.col("embedding")).alias("codes"), neighbours.knn_hamming
+    points, base = (f if f is None else f.select("id", shape) for f in (papers, others))
+    return search(points, k or settings.neighbours, base, probes=settings.probes)
 
 
 def reduce_topics(docs: DataFrame, counts: DataFrame, distance: float) -> DataFrame:
@@ -72,8 +79,16 @@ def train(
     outliers.
     """
     near = settle(_neighbours(papers, settings))
-    core = settle(clusters.core_distance(near, settings.min_samples))
-    if seeds is None:
+    min_samples, found = settings.min_samples, None
+    if seeds is None and settings.sweep_samples and settings.sweep_sizes:
+        scores, found = clusters.cluster_sweep(
+            near, settings.sweep_samples, settings.sweep_sizes, settings.min_clusters, settings.eps
+        )
+        min_samples, _ = clusters.best_setting(scores, settings.min_clusters)
+    core = settle(clusters.core_distance(near, min_samples))
+    if found is not None:
+        pass
+    elif seeds is None:
         found = clusters.density_clusters(near, settings.min_samples, settings.min_cluster_size, settings.eps)
     else:
         found = clusters.seeded_clusters(near, seeds).select("id", F.col("topic_id").alias("cluster"))
@@ -113,16 +128,20 @@ def train(
 def train_model(
     topic: DataFrame, paper_topics: DataFrame, topic_stats: DataFrame, papers: DataFrame, model: str,
     level: int, settings: Settings, overwrite: bool = False, seeds: DataFrame | None = None,
-    outlier_name: str = "Outliers",
+    outlier_name: str = "Outliers", selected: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train and store a model: new versions of topic, paper_topics and topic_stats.
 
+    ``selected`` (id), from ``operators.selection``, limits the papers it is trained on.
+
     A model that exists stays as it is unless ``overwrite`` is set.
     """
     if catalog.model_exists(topic, model):
         if not overwrite:
             return topic, paper_topics, topic_stats
         topic, paper_topics, topic_stats = mutations.delete_model(topic, paper_topics, topic_stats, model)
+    if selected is not None:
+        papers = settle(papers.join(selected.select("id").distinct(), "id", "left_semi"))
     trained = train(papers, settings, seeds, outlier_name)
     topic, paper_topics = mutations.import_topics(
         topic, paper_topics, level, model, trained.topics, trained.assignments
@@ -167,11 +186,9 @@ def transform_papers(
         F.col("embedding").isNotNull()
     )
     known = settle(catalog.papers_by_model(paper, paper_topics, topic, model))
-    # a paper votes once, for the surest of its topics is the one it was trained into
+    # a paper votes once, for the first of its topics
     base = ranking.dedup_by_key(known.select("id", "embedding", "orig_id"), ["id"], [F.asc("orig_id")])
-    near = neighbours.knn_cosine(
-        fresh.select("id", "embedding"), settings.min_samples, base.select("id", "embedding"), settings.probes
-    )
+    near = _neighbours(fresh, settings, settings.min_samples, base)
     rows = clusters.assign_new(near, base.select("id", F.col("orig_id").alias("topic_id")), settings.eps)
     return mutations.import_assignments(topic, paper_topics, model, rows)
 
