@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,27 @@ def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for mapInArrow that gives its freed memory back to the system when a task ends:
+    Python workers wait for further tasks beside the next ones and would keep it."""
+
+    def run(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return run
+
+
 def pieces_of(total: int, each: int) -> int:
     """How many pieces of about ``each`` make up ``total``; at least one."""
     return max(1, -(-int(total or 0) // each))

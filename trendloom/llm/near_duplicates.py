@@ -41,7 +41,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import text_of
+from trendloom.llm.common import text_of, tidy
 from trendloom.llm.components import components
 from trendloom.operators.ranking import first_per_group
 from trendloom.session import settle
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str
                 names=["id", "digest", "n", "signature"],
             )
 
-    return rows.mapInArrow(sign, f"id {kind}, digest binary, n int, signature binary")
+    return rows.mapInArrow(tidy(sign), f"id {kind}, digest binary, n int, signature binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(open_rows))
 
     kept = sized.filter(fits).select("a", "b", "s_a", "s_b")
-    return kept.mapInArrow(compare, f"a {kind}, b {kind}")
+    return kept.mapInArrow(tidy(compare), f"a {kind}, b {kind}")
 
 
 def shingle_sets(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
@@ -215,7 +215,7 @@ def shingle_sets(docs: DataFrame, shingle: int, key: str, text: str) -> DataFram
                 ]
                 yield pa.record_batch(columns, names=["id", "digest", "values"])
 
-    return rows.mapInArrow(cut, f"id {kind}, digest binary, values array<bigint>")
+    return rows.mapInArrow(tidy(cut), f"id {kind}, digest binary, values array<bigint>")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

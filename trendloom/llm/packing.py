@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import pieces_of, text_of
+from trendloom.llm.common import pieces_of, text_of, tidy
 from trendloom.llm.tokens import encoder
 from trendloom.session import settle
 
@@ -77,7 +77,7 @@ def token_pieces(
 
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, piece int, start bigint, length bigint, ids binary"
-    return rows.mapInArrow(cut, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(cut), schema).withColumnRenamed("key", key)
 
 
 def fullest(left: dict[int, int], room: int) -> dict[int, int]:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import text_of
+from trendloom.llm.common import text_of, tidy
 from trendloom.operators.ranking import with_position
 from trendloom.session import settle
 
@@ -146,7 +146,7 @@ def gram_counts(texts: DataFrame, width: int, filters: dict[int, np.ndarray]) ->
                 grams, n = np.unique(gram_hashes(lang, words, ids, width)[at], return_counts=True)
                 yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    return texts.mapInArrow(count, "gram bigint, n bigint")
+    return texts.mapInArrow(tidy(count), "gram bigint, n bigint")
 
 
 def _bits(gram: Column, size: int) -> list[Column]:
@@ -199,7 +199,7 @@ def window_counts(texts: DataFrame, filters: dict[int, np.ndarray]) -> DataFrame
                 )
 
     fields = ", ".join(f"{w} string" for w in WORDS)
-    return texts.mapInArrow(count, f"lang string, {fields}, n bigint")
+    return texts.mapInArrow(tidy(count), f"lang string, {fields}, n bigint")
 
 
 def count_rows(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:

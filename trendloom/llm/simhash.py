@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import text_of
+from trendloom.llm.common import text_of, tidy
 from trendloom.llm.components import components
 from trendloom.operators.ranking import with_position
 from trendloom.session import settle
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
             signed = np.array(found, np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("id"), pa.array(signed)], names=["id", "fp"])
 
-    return rows.mapInArrow(sign, f"id {kind}, fp bigint")
+    return rows.mapInArrow(tidy(sign), f"id {kind}, fp bigint")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -219,7 +219,7 @@ def descend(pairs: DataFrame, level: DataFrame, lowest: bool, distance: int) ->
             if found:
                 yield batch_of(found)
 
-    return met.mapInArrow(expand, ", ".join(f"{n} bigint" for n in names))
+    return met.mapInArrow(tidy(expand), ", ".join(f"{n} bigint" for n in names))
 
 
 def fingerprint_links(entries: DataFrame, distance: int = DISTANCE, fanout: int = FANOUT) -> DataFrame:

@@ -29,11 +29,11 @@ from itertools import groupby
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import text_of
+from trendloom.llm.common import text_of, tidy
 from trendloom.session import settle
 
 WINDOW = 200
-LOCAL = 5_000  # runs of a group that one task sorts, with some 60 MB
+LOCAL = 2_500  # runs of a group that one task sorts, with some 30 MB
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -60,7 +60,7 @@ def _packed(rows: DataFrame) -> DataFrame:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(pack, f"{fields}, packed binary")
+    return rows.mapInArrow(tidy(pack), f"{fields}, packed binary")
 
 
 def text_runs(texts: DataFrame, window: int) -> DataFrame:
@@ -91,7 +91,7 @@ def text_runs(texts: DataFrame, window: int) -> DataFrame:
                     yield pa.record_batch([pa.array(c) for c in columns], names=names)
 
     return texts.mapInArrow(
-        cut, "h bigint, n int, start bigint, count int, digit bigint, content bigint"
+        tidy(cut), "h bigint, n int, start bigint, count int, digit bigint, content bigint"
     )
 
 
@@ -139,7 +139,7 @@ def with_bytes(texts: DataFrame, contents: DataFrame, window: int) -> DataFrame:
                 ]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return joined.mapInArrow(cut, "digit bigint, content bigint, runs bigint, bytes binary")
+    return joined.mapInArrow(tidy(cut), "digit bigint, content bigint, runs bigint, bytes binary")
 
 
 def sorted_in_tasks(contents: DataFrame, window: int) -> DataFrame:
@@ -170,7 +170,7 @@ def sorted_in_tasks(contents: DataFrame, window: int) -> DataFrame:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
     return dealt.sortWithinPartitions("digit").mapInArrow(
-        sort, "digit bigint, content bigint, first bigint, last bigint"
+        tidy(sort), "digit bigint, content bigint, first bigint, last bigint"
     )
 
 
@@ -198,7 +198,7 @@ def sorted_by_shuffle(contents: DataFrame, window: int) -> DataFrame:
                 )
 
     windows = contents.select("digit", "content", "bytes").mapInArrow(
-        cut, "digit bigint, content bigint, first bigint, hash bigint"
+        tidy(cut), "digit bigint, content bigint, first bigint, hash bigint"
     )
     several = (
         windows.groupBy("digit", "hash")
@@ -303,7 +303,7 @@ def remove_repeats(
                 yield pa.record_batch([part.column("row"), *columns], names=["row", *added])
 
     schema = f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    result = joined.mapInArrow(take, schema).select("row.*", *added)
+    result = joined.mapInArrow(tidy(take), schema).select("row.*", *added)
     if not with_kept:
         return result.drop("kept")
     whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string"))

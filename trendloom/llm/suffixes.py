@@ -6,7 +6,7 @@ import numpy as np
 
 GRAM = 32  # bytes of the first digit
 PLACE_BITS = np.uint64(24)  # of a key; the other 40 bits are the hash
-CHUNK = 1 << 19  # bytes looked at together; a few dozen times as many are in use meanwhile
+CHUNK = 1 << 18  # bytes looked at together; a few dozen times as many are in use meanwhile
 FACTOR = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 

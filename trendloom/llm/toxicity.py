@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import text_of
+from trendloom.llm.common import text_of, tidy
 from trendloom.session import settle
 
 BITS = 22
@@ -156,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             columns = [pa.array(used, pa.int64()), pa.array(weights, pa.float64())]
             yield pa.record_batch(columns, names=["feature", "weight"])
 
-    extracted = rows.mapInArrow(extract, "_order bigint, _label int, features binary")
+    extracted = rows.mapInArrow(tidy(extract), "_order bigint, _label int, features binary")
     # a bounded sample: one task learns from it, in an order that rows alone decide
     one = extracted.repartition(1).sortWithinPartitions("_order", "_label", "features")
-    return one.mapInArrow(fit, "feature bigint, weight double")
+    return one.mapInArrow(tidy(fit), "feature bigint, weight double")
 
 
 def score(
@@ -194,7 +194,7 @@ def score(
             yield pa.record_batch(columns, names=["row", name, count])
         _hashes.clear()
 
-    return rows.mapInArrow(judge, f"row {kind}, {name} double, {count} int").select("row.*", name, count)
+    return rows.mapInArrow(tidy(judge), f"row {kind}, {name} double, {count} int").select("row.*", name, count)
 
 
 def rejected(chance: Column) -> Column:
