@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import pieces_of, text_of, tidy
-from trendloom.llm.tokens import encoder
+from trendloom.llm.tokens import Encoder
 from trendloom.session import settle
 
 CAPACITY = 2048
@@ -49,7 +49,7 @@ def token_pieces(
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = encoder(tokenizer, added).encode
+        encode = Encoder(tokenizer, added).encode  # some 50 MB, gone when the task ends
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
