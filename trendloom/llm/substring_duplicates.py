@@ -33,7 +33,7 @@ from trendloom.llm.common import text_of, tidy
 from trendloom.session import settle
 
 WINDOW = 200
-LOCAL = 2_500  # runs of a group that one task sorts, with some 30 MB
+LOCAL = 20_000  # runs of a group that one task sorts, with some 250 MB
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
