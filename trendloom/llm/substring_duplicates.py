@@ -8,12 +8,14 @@ most significant first, and whatever is alone in its group after a digit is out:
    Per digit the runs are counted; digits with one run are out.
 2. The second digit is the content of the whole run. Groups with one content that occurs twice or
    more are done: all their windows are repeated.
-3. In groups with several contents the last digit is the window itself. Contents travel once each,
-   with their bytes, and the windows of a group are sorted in its task; a group of more than
-   ``LOCAL`` runs is sorted by its windows' hashes in a further shuffle, so no group is too large.
+3. In groups with several contents the bytes of the window are the digits. Contents travel once
+   each, and their suffixes are sorted in the group's task by 8 bytes after 8 bytes, the most
+   significant first, until ``window`` bytes agree. A group of more than ``LOCAL`` runs is dealt
+   out further by the hash of the window instead, so no group is too large for a task.
 
-Equal groups after the last digit are exactly the repeated windows. The order of digits is not
-that of the bytes, which matters for nothing here.
+Equal groups after the last digit are exactly the repeated windows. The first two digits only deal
+suffixes out: equal windows have the same ones. Contents, and windows of groups beyond ``LOCAL``,
+are told apart by 64-bit hashes within their digit.
 
 Results belong to a text: rows of equal texts are found by its digest and length, and get the same
 result. Null texts are empty, texts of fewer bytes than ``window`` lose nothing. What a removal
@@ -33,7 +35,8 @@ from trendloom.llm.common import text_of, tidy
 from trendloom.session import settle
 
 WINDOW = 200
-LOCAL = 20_000  # runs of a group that one task sorts, with some 250 MB
+LOCAL = 20_000  # runs of a group that one task sorts
+TOGETHER = 1 << 19  # bytes of the contents of small groups sorted at once
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -148,6 +151,7 @@ def sorted_in_tasks(contents: DataFrame, window: int) -> DataFrame:
     dealt = contents.select("digit", "content", "bytes").repartition("digit")
 
     def sort(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         from trendloom.llm.suffixes import repeated, stretches
@@ -158,16 +162,25 @@ def sorted_in_tasks(contents: DataFrame, window: int) -> DataFrame:
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("digit", "content", "bytes")))
 
-        out: list[tuple[int, int, int, int]] = []
-        for digit, group in groupby(rows(), key=lambda r: r[0]):
-            held = {content: data for _, content, data in group}
-            for content, found in zip(held, repeated(list(held.values()), window)):
-                out += [(digit, content, a, b) for a, b in stretches(found)]
-            if len(out) > 20_000:
+        def marked(held: list[tuple[int, int, bytes]]) -> Iterator:
+            digit = np.array([d for d, _, _ in held])
+            number = np.cumsum(np.append(False, digit[1:] != digit[:-1]))
+            found = repeated([data for _, _, data in held], number, window)
+            out = [(d, c, a, b) for (d, c, _), f in zip(held, found) for a, b in stretches(f)]
+            if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
-                out = []
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
+        held: list[tuple[int, int, bytes]] = []
+        size = 0
+        for _, group in groupby(rows(), key=lambda r: r[0]):
+            if size > TOGETHER:
+                yield from marked(held)
+                held, size = [], 0
+            for row in group:
+                held.append(row)
+                size += len(row[2])
+        if held:
+            yield from marked(held)
 
     return dealt.sortWithinPartitions("digit").mapInArrow(
         tidy(sort), "digit bigint, content bigint, first bigint, last bigint"

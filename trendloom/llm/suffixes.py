@@ -7,6 +7,8 @@ import numpy as np
 GRAM = 32  # bytes of the first digit
 PLACE_BITS = np.uint64(24)  # of a key; the other 40 bits are the hash
 CHUNK = 1 << 18  # bytes looked at together; a few dozen times as many are in use meanwhile
+DIGIT = 8  # bytes of the later digits
+PART = 1 << 18  # suffixes sorted together
 FACTOR = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -93,13 +95,54 @@ def runs(texts: list[bytes], window: int, gram: int = GRAM):
         yield number, start, count, grams[at[first]], spans
 
 
-def repeated(contents: list[bytes], window: int) -> list[np.ndarray]:
-    """Per content, which of its windows also occur in another content."""
-    sizes = [len(c) - window + 1 for c in contents]
-    hashes = [mix(polynomial(np.frombuffer(c, np.uint8), window)) for c in contents]
-    _, which, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    found = times[which] > 1
-    return np.split(found, np.cumsum(sizes)[:-1])
+def repeated(contents: list[bytes], groups: np.ndarray, window: int) -> list[np.ndarray]:
+    """Per content, which of its windows also begin a suffix elsewhere in its group. ``groups``
+    numbers the group of each content, ascending.
+
+    The suffixes with ``window`` bytes or more left are sorted through that many bytes, the most
+    significant digit of ``DIGIT`` bytes first. After each digit those that are alone are out; what
+    still stands together after the last one agrees in all bytes.
+    """
+    lengths = np.array([len(c) for c in contents])
+    sizes = lengths - window + 1
+    before = np.cumsum(sizes) - sizes
+    whole = b"".join(contents) + bytes(DIGIT)
+    digits = np.ndarray((len(whole) - DIGIT + 1,), ">u8", whole, strides=(1,))  # one at every byte
+    place = np.arange(sizes.sum()) + np.repeat(np.cumsum(lengths) - lengths - before, sizes)
+    group = np.repeat(groups, sizes)
+    found = np.zeros(len(place), bool)
+    # equal windows have equal first digits, so large inputs are sorted in parts
+    parts = -(-len(place) // PART)
+    unused = np.uint64(8 * max(0, DIGIT - window))  # bits of the only digit of a shorter window
+    share = mix(digits[place].astype(np.uint64) >> unused) % np.uint64(parts) if parts > 1 else None
+    for part in range(parts):
+        chosen = np.arange(len(place)) if share is None else np.flatnonzero(share == np.uint64(part))
+        found[chosen[_not_alone(digits, place[chosen], group[chosen], window)]] = True
+    return np.split(found, before[1:])
+
+
+def _not_alone(digits: np.ndarray, place: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """The numbers of the suffixes (at ``place``, by ascending ``group``) that share ``window`` bytes."""
+    unused = np.uint64(8 * max(0, DIGIT - window))  # bits of the only digit of a shorter window
+    left = np.arange(len(place))
+    opens = np.ones(len(place), bool)  # where a group begins
+    opens[1:] = group[1:] != group[:-1]
+    for depth in (*range(0, window - DIGIT, DIGIT), max(0, window - DIGIT)):
+        digit = digits[place[left] + depth].astype(np.uint64) >> unused
+        owner = np.cumsum(opens) - 1
+        other = digit != digit[opens][owner]
+        if other.any():
+            mixed = np.zeros(owner[-1] + 1, bool)
+            mixed[owner[other]] = True
+            at = np.flatnonzero(mixed[owner])  # groups of one digit need no sorting
+            turn = at[np.lexsort((digit[at], owner[at]))]
+            left[at], digit[at] = left[turn], digit[turn]
+            opens[1:] |= digit[1:] != digit[:-1]
+        several = ~(opens & np.append(opens[1:], True))
+        left, opens = left[several], opens[several]
+        if not len(left):
+            break
+    return left
 
 
 def stretches(found: np.ndarray) -> list[tuple[int, int]]:
