@@ -190,38 +190,47 @@ def delete_model(
 
 
 def paper_additions(
-    paper: DataFrame, category: DataFrame, paper_categories: DataFrame, papers: DataFrame
+    paper: DataFrame,
+    category: DataFrame,
+    paper_categories: DataFrame,
+    papers: DataFrame,
+    recount: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What imported papers (see ``ingest.imported_papers``) add: papers, categories, links.
 
-    New papers and new links are rows to append; the categories are the whole new version, those
-    the import names counted anew, so that a run repeated after a failure ends up the same. Of
-    the stored papers only keys and ids are read. A known paper keeps its stored text but gains
-    categories it newly lists; links are unique.
+    New papers and new links are rows to append; the categories are the whole new version. Those
+    the import names are counted anew over all links, or with ``recount`` off the new links are
+    added to their stored counts. Of the stored tables only keys and ids are read, and only those
+    of imported papers go on. A known paper keeps its stored text but gains categories it newly
+    lists; links are unique.
     """
     papers = settle(papers)  # cleaned once, read for papers, categories and links
     order = [F.asc("update_date"), F.asc("title"), F.asc("abstract")]
-    added = settle(new_rows(paper, papers.drop("categories"), KEYS["paper"], order))
+    # the batch is the small side of both semi joins, so the stored keys need no shuffle
+    known = settle(paper.select("id", "source_id").join(papers, "source_id", "left_semi"))
+    added = settle(new_rows(known, papers.drop("categories"), KEYS["paper"], order))
     numbers = settle(assign_ids(paper, added.select("source_id"), [F.asc("source_id")]))
     names = catalog.distinct_categories(papers).withColumn("paper_count", F.lit(0).cast("bigint"))
     fresh = new_rows(category, names, KEYS["category"])
     categories = settle(category.unionByName(assign_ids(category, fresh, [F.asc("name")])))
-    ids = paper.select("id", "source_id").unionByName(numbers.select("id", "source_id"))
+    ids = known.unionByName(numbers.select("id", "source_id"))
     listed = papers.select("source_id", "categories").join(ids, "source_id")
     named = settle(catalog.link_paper_categories(listed, categories))
-    links = settle(new_rows(paper_categories, named, KEYS["paper_categories"], [F.desc("is_primary")]))
-    touched = named.select("category_id").distinct()
-    counts = (
-        paper_categories.select("category_id")
-        .unionByName(links.select("category_id"))
-        .join(touched, "category_id", "left_semi")
-        .groupBy(F.col("category_id").alias("id"))
-        .agg(F.count("*").alias("_count"))
-    )
-    counted = categories.join(counts, "id", "left").withColumn(
-        "paper_count", F.coalesce("_count", "paper_count")
-    )
-    return added.join(numbers, "source_id"), counted.select(*category.columns), links
+    stored = paper_categories.join(known.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+    links = settle(new_rows(stored, named, KEYS["paper_categories"], [F.desc("is_primary")]))
+    if recount:
+        touched = named.select("category_id").distinct()
+        every = paper_categories.select("category_id").unionByName(links.select("category_id"))
+        counted = every.join(touched, "category_id", "left_semi")
+        before = F.lit(0)
+    else:
+        counted = links
+        before = F.coalesce("paper_count", F.lit(0))
+    counts = counted.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("_count"))
+    result = categories.join(counts, "id", "left").withColumn(
+        "paper_count", F.coalesce(F.col("_count") + before, "paper_count")
+    )
+    return added.join(numbers, "source_id"), result.select(*category.columns), links
 
 
 def import_papers(

@@ -37,16 +37,9 @@ def stream_ingest(spark, sf):
 @query("SELECT id, title FROM snapshot", "snapshot")
 def stream_dedup(spark, sf):
     out = work_dir(spark, "unique")
-    unique = streams.stream_dedup(streams.snapshot_stream(spark, _files(spark, sf, 2))).select("id", "title")
-    (
-        unique.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", work_dir(spark, "offsets"))
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(out)
+    records = streams.snapshot_stream(spark, _files(spark, sf, 2))
+    streams.stream_dedup(records, out, work_dir(spark, "offsets")).awaitTermination()
+    return streams.unique_records(spark, out).select("id", "title")
 
 
 @query("""SELECT cat AS category, year(creation_date)::INT AS creation_year, month(creation_date)::INT AS creation_month, count(*) AS paper_count
