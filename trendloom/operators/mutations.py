@@ -140,7 +140,9 @@ def _import_links(
     links = catalog.resolve_topics(assignments, topic, model).select(
         "paper_id", "topic_id", "probability", F.lit(transformed).alias("transformed")
     )
-    merged = insert_or_ignore(paper_topics, links, KEYS["paper_topics"], [F.desc("probability")])
+    # settled, as the links are counted here and written by the caller
+    fresh = settle(new_rows(paper_topics, links, KEYS["paper_topics"], [F.desc("probability")]))
+    merged = paper_topics.unionByName(fresh, allowMissingColumns=True)
     return catalog.topic_paper_count(topic, merged), merged
 
 
@@ -151,9 +153,9 @@ def update_hierarchy(
 
     Of several assignments of a paper that lead to one parent the surest is copied.
     """
-    found = catalog.parent_topic(paper_topics, topic, model, parent_model).select(
-        F.col("child_id").alias("id"), F.col("parent_id").alias("_parent")
-    )
+    parent = catalog.parent_topic(paper_topics, topic, model, parent_model)
+    # settled, as topics and links follow from it, and as links are counted here and written after
+    found = settle(parent.select(F.col("child_id").alias("id"), F.col("parent_id").alias("_parent")))
     mine = (F.col("model") == model) & catalog.is_topic()
     linked = (
         topic.join(found, "id", "left")
@@ -167,7 +169,8 @@ def update_hierarchy(
         "paper_id", F.col("_up").alias("topic_id"), "probability", "transformed"
     )
     order = [F.desc("probability"), F.asc("transformed")]
-    merged = insert_or_ignore(paper_topics, copies, KEYS["paper_topics"], order)
+    fresh = settle(new_rows(paper_topics, copies, KEYS["paper_topics"], order))
+    merged = paper_topics.unionByName(fresh, allowMissingColumns=True)
     return catalog.topic_paper_count(linked, merged), merged
 
 

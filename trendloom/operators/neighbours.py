@@ -226,6 +226,8 @@ def _nearest(
     listed = best.join(distinct.select(F.col("rep").alias("near"), "ids"), "near").select(
         "rep", "distance", F.explode("ids").alias("neighbour")
     )
+    # copies have the same list but for themselves, so its best rows serve all of them
+    listed = first_per_group(listed, ["rep"], [F.asc("distance"), F.asc("neighbour")], most)
     members = _members(points, distinct) if alone else sources.select("id", "rep")
     pairs = members.join(listed, "rep").select("id", "neighbour", "distance")
     if alone:

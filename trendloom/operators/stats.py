@@ -90,7 +90,6 @@ def category_stats_by_month(stats: DataFrame, category: DataFrame) -> DataFrame:
             scalars.share(F.col("total_percent")).alias("total_percent"),
             F.lit(0.0).alias("parent_percent"),
         )
-        .orderBy("label", "publication")
     )
 
 
@@ -131,7 +130,6 @@ def topic_stats_by_month(
             scalars.share(F.col("total_percent")).alias("total_percent"),
             scalars.share(F.col("parent_percent")).alias("parent_percent"),
         )
-        .orderBy("label", "publication")
     )
 
 
