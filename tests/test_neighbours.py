@@ -57,3 +57,22 @@ def test_two_sides_and_probes(spark, rows):
     some = neighbours.knn_cosine(shaped(spark, new), 3, shaped(spark, old), probes=3, pivots=6).collect()
     hits = {(r.id, r.neighbour, r.distance) for r in some} & want
     assert len(hits) >= 0.9 * len(want)
+
+
+def test_no_table_per_query_and_cell(spark, monkeypatch):
+    """Without structure every cell is in reach; a query is still written once, not once per cell."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(240)]
+    written = []
+
+    def settle(frame):
+        kept = real(frame)
+        written.append(kept.count())
+        return kept
+
+    real = neighbours.settle
+    monkeypatch.setattr(neighbours, "settle", settle)
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    found = neighbours.knn_cosine(shaped(spark, rows), 4, pivots=80).collect()
+    assert {(r.id, r.neighbour, r.distance) for r in found} == brute(rows, rows, 4, cosine)
+    assert max(written) <= 8 * len(rows)

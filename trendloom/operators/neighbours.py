@@ -5,14 +5,17 @@ metric in step with cosine (and, for vectors of +1 and -1, with Hamming) distanc
 
 1. Copies are searched once: of equal vectors the k + 1 lowest ids can be among k nearest.
 2. A sample of the distinct vectors serves as pivots; each vector belongs to the cell of its
-   nearest pivot. As pivots are drawn from the data, dense regions get many cells. Large cells
-   are cut into blocks of bounded size.
-3. Each query searches one block of its own cell, which bounds the distance of its k-th
-   neighbour, then only those cells that the triangle inequality cannot rule out.
-
-A task holds one block and one batch of queries and returns at most k + 1 rows per query. Where
-the data have no structure no cell can be ruled out and the exact search meets all blocks;
-``probes`` limits it to that many nearest cells per query, with some neighbours missed.
+   nearest pivot. As pivots are drawn from the data, dense regions get many cells. Cells near each
+   other form a tile, large cells are cut into several tiles.
+3. Each query searches the tile of its own cell, which bounds the distance of its k-th neighbour,
+   then the tiles with a cell that the triangle inequality cannot rule out, and there only such
+   cells.
+
+A task holds one tile and one batch of queries, as packed vectors, and returns at most k + 1 rows
+per query. A query travels once per tile, not per cell, and the number of tiles stays the same until
+a tile reaches ``BLOCK`` vectors: until then the shuffle grows with the vectors. Where the data have no
+structure no cell can be ruled out and the exact search compares all pairs; ``probes`` limits it to that
+many nearest cells per query, with some neighbours missed.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,11 @@ from trendloom.functions import scalars
 from trendloom.operators.ranking import first_per_group
 from trendloom.session import settle
 
-BLOCK = 4096  # base vectors per block
-BATCH = 1024  # queries per task and block
+TILES = 6  # until a tile reaches BLOCK vectors
+BLOCK = 1 << 16  # most base vectors, and queries, of a task
+LEAST = 1024  # fewest, where there are as many
+BATCH = 512  # queries compared at a time
+SPAN = 4096  # with so many base vectors
 PIVOT_BYTES = 32 << 20  # pivots travel to every task, so their size has a bound
 _CELL_ENTRIES = 1 << 22  # distances to pivots held at a time
 
@@ -55,11 +61,14 @@ def _distance(dot: np.ndarray, metric: str, size: int) -> np.ndarray:
 
 
 def _chord(distance, metric: str, size: int):
-    return np.sqrt(np.maximum(4 * distance / size if metric == "hamming" else 2 * distance, 0))
+    """The straight-line distance that rounding may have left behind ``distance``."""
+    return np.sqrt(np.maximum(4 * distance / size if metric == "hamming" else 2 * distance, 0) + 4e-9)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy())
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Packed vectors as the rows of a matrix."""
+    packed = vectors.to_pylist()
+    return np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), -1)
 
 
 def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
@@ -78,89 +87,205 @@ def _distinct(points: DataFrame, keep: int) -> DataFrame:
 
 
 def _locate(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it (``off``)."""
+    """Pack the vectors (little-endian doubles), add the nearest pivot (``cell``) and the distance to
+    it (``off``)."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                cell = np.empty(len(batch), dtype=np.int32)
-                off = np.empty(len(batch))
-                for part, d in _pivot_distances(_matrix(batch["vector"]), shared.value):
+            if batch.num_rows:
+                matrix = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+                cell = np.empty(len(matrix), dtype=np.int32)
+                off = np.empty(len(matrix))
+                for part, d in _pivot_distances(matrix, shared.value):
                     cell[part] = d.argmin(axis=1)
                     off[part] = d.min(axis=1)
-                yield batch.assign(cell=cell, off=off)
+                packed = pa.array([row.tobytes() for row in matrix.astype("<f8")], pa.binary())
+                yield pa.record_batch(
+                    [batch.column("rep"), packed, pa.array(cell), pa.array(off)], names=["rep", "vector", "cell", "off"]
+                )
 
-    return vectors.mapInPandas(place, "rep bigint, vector array<double>, cell int, off double")
+    return vectors.select("rep", "vector").mapInArrow(place, "rep bigint, vector binary, cell int, off double")
 
 
-def _search(queries: DataFrame, blocks: DataFrame, most: int, metric: str, size: int) -> DataFrame:
-    """(rep, near, distance): the ``most`` nearest of each query in each block it was sent to."""
-    key = ["cell", "block"]
-    batches = queries.groupBy(*key).agg(F.ceil(F.count("*") / BATCH).cast("int").alias("batches"))
-    sent = queries.join(batches, key).withColumn("batch", F.pmod(F.xxhash64("rep"), "batches").cast("int"))
-    copies = blocks.join(batches, key).withColumn(
-        "batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))
-    )
+def _tiles(counts: np.ndarray, centres: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First tile and number of tiles of each cell, and the number of all tiles.
 
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"rep": [], "near": [], "distance": []})
-        right = right.sort_values("rep")  # of equal distances the lower id comes first
-        found = _distance(_matrix(left["vector"]) @ _matrix(right["vector"]).T, metric, size)
-        if found.shape[1] > most:
-            limit = np.partition(found, most - 1, axis=1)[:, most - 1 : most]
-            row, column = np.nonzero(found <= limit)
+    A tile holds about ``most`` vectors: cells of pivots near each other share one, a larger cell is
+    cut into several.
+    """
+    anchors = centres[: max(1, int(len(centres) ** 0.5))]
+    near = np.empty(len(centres), dtype=np.int64)
+    for part, d in _pivot_distances(centres, anchors):
+        near[part] = d.argmin(axis=1)
+    first, parts = np.zeros(len(counts), dtype=np.int64), np.ones(len(counts), dtype=np.int64)
+    tile = held = 0
+    for cell in np.argsort(near, kind="stable"):
+        if held and held + counts[cell] > most:
+            tile, held = tile + 1, 0
+        first[cell], parts[cell] = tile, max(1, -(-counts[cell] // most))
+        held += counts[cell]
+        if parts[cell] > 1:
+            tile, held = tile + int(parts[cell]), 0
+    return first, parts, tile + (held > 0) or 1
+
+
+def _in_reach(
+    vectors: np.ndarray, worst: np.ndarray, pivots: np.ndarray, radius: np.ndarray,
+    probes: int | None, metric: str, size: int,
+) -> Iterator[tuple[slice, np.ndarray]]:
+    """Slices of the queries with the cells that may hold a neighbour as near as the ``worst`` found,
+    or with their nearest ``probes`` cells."""
+    for part, d in _pivot_distances(vectors, pivots):
+        if probes is None:
+            near = (d - radius <= _chord(worst[part, None], metric, size) + 1e-6) & (radius >= 0)
         else:
-            row, column = (x.ravel() for x in np.indices(found.shape))
-        order = np.lexsort((column, found[row, column], row))
-        row, column = row[order], column[order]
-        first = np.searchsorted(row, np.arange(len(left)))
-        kept = np.arange(len(row)) - first[row] < most
-        row, column = row[kept], column[kept]
-        return pd.DataFrame(
-            {
-                "rep": left["rep"].to_numpy()[row],
-                "near": right["rep"].to_numpy()[column],
-                "distance": found[row, column],
-            }
+            last = min(probes, d.shape[1]) - 1
+            near = d <= np.partition(d, last, axis=1)[:, last : last + 1]
+        yield part, near
+
+
+class _Best:
+    """The ``most`` nearest found so far of some queries, lower ids first on ties."""
+
+    def __init__(self, queries: np.ndarray, worst: np.ndarray, most: int, metric: str, size: int) -> None:
+        self.queries, self.worst, self.most, self.metric, self.size = queries, worst.copy(), most, metric, size
+        self.row = np.empty(0, dtype=np.int64)
+        self.near = np.empty(0, dtype=np.int64)
+        self.distance = np.empty(0)
+
+    def look(self, ids: np.ndarray, vectors: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        dots = self.queries @ vectors.T
+        if allowed is not None:
+            dots[~allowed] = -np.inf
+        # what a row cannot keep goes before distances are rounded; the margins cover the rounding
+        step = (2 * self.worst + 1) / self.size if self.metric == "hamming" else self.worst
+        least = 1 - step - 2e-9
+        if len(ids) > self.most:
+            fresh = np.nonzero(np.isinf(self.worst))[0]
+            if len(fresh):
+                top = np.partition(dots[fresh], len(ids) - self.most, axis=1)[:, len(ids) - self.most]
+                least[fresh] = top - 2e-9
+        row, column = np.nonzero((dots >= least[:, None]) & (dots > -np.inf))
+        if not len(row):
+            return
+        row, near, distance = (
+            np.concatenate(x)
+            for x in (
+                (self.row, row), (self.near, ids[column]),
+                (self.distance, _distance(dots[row, column], self.metric, self.size)),
+            )
         )
+        order = np.lexsort((near, distance, row))
+        row, near, distance = row[order], near[order], distance[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.most
+        full = place == self.most - 1
+        self.worst[row[full]] = np.minimum(self.worst[row[full]], distance[full])
+        self.row, self.near, self.distance = row[kept], near[kept], distance[kept]
+
+
+def _search(
+    queries: DataFrame, base: DataFrame, pivots: np.ndarray, radius: np.ndarray,
+    most: int, metric: str, size: int, probes: int | None,
+) -> DataFrame:
+    """(rep, near, distance): the ``most`` nearest of each query in each tile it was sent to.
 
-    group = [*key, "batch"]
+    ``queries`` (tile, batch, rep, vector, cell, worst) meet ``base`` (tile, batch, rep, vector, cell).
+    A task holds one batch and one tile, both of bounded size. It takes its queries cell by cell,
+    starts with their own cell and leaves out the cells that the worst neighbour found rules out.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, radius))
+    names = ["rep", "near", "distance"]
+    shape = pa.schema([("rep", pa.int64()), ("near", pa.int64()), ("distance", pa.float64())])
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return shape.empty_table()
+        centres, radii = shared.value
+        left = left.sort_by([("cell", "ascending"), ("rep", "ascending")])
+        right = right.sort_by([("cell", "ascending"), ("rep", "ascending")])
+        ids, vectors = right["rep"].to_numpy(), _matrix(right["vector"])
+        cells, starts = np.unique(right["cell"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(ids))
+        sought, given = _matrix(left["vector"]), left["worst"].to_numpy()
+        homes, reps = left["cell"].to_numpy(), left["rep"].to_numpy()
+        found = []
+        for at in range(0, len(sought), BATCH):
+            part = slice(at, at + BATCH)
+            best = _Best(sought[part], given[part], most, metric, size)
+            own = np.isin(cells, homes[part]) & np.isinf(given[part]).any()
+            for first in (True, False):
+                reach = np.concatenate(
+                    [near for _, near in _in_reach(sought[part], best.worst, centres, radii, probes, metric, size)]
+                )[:, cells]
+                wanted = np.nonzero(own if first else reach.any(axis=0) & ~own)[0]
+                for taken in _spans(wanted, ends - starts):
+                    rows = np.concatenate([np.arange(starts[c], ends[c]) for c in taken])
+                    allowed = None
+                    if probes is not None:
+                        allowed = np.repeat(reach[:, taken], ends[taken] - starts[taken], axis=1)
+                    for low in range(0, len(rows), SPAN):
+                        some = rows[low : low + SPAN]
+                        best.look(ids[some], vectors[some], None if allowed is None else allowed[:, low : low + SPAN])
+            found.append((reps[part][best.row], best.near, best.distance))
+        return pa.table([np.concatenate(x) for x in zip(*found)], names=names)
+
+    group = ["tile", "batch"]
     return (
-        sent.select(*group, "rep", "vector")
+        queries.select(*group, "rep", "vector", "cell", "worst")
         .groupBy(*group)
-        .cogroup(copies.select(*group, "rep", "vector").groupBy(*group))
-        .applyInPandas(nearest, "rep bigint, near bigint, distance double")
+        # renamed, as both sides may come from one table
+        .cogroup(base.select(*group, "rep", "vector", "cell").toDF(*group, "rep", "vector", "cell").groupBy(*group))
+        .applyInArrow(nearest, "rep bigint, near bigint, distance double")
     )
 
 
-def _cells_in_reach(
-    queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, probes: int | None
+def _spans(cells: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Cells in runs of about ``SPAN`` vectors together."""
+    if len(cells):
+        run = (np.cumsum(sizes[cells]) - 1) // SPAN
+        yield from np.split(cells, np.nonzero(np.diff(run))[0] + 1)
+
+
+def _tiles_in_reach(
+    queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, first: np.ndarray, parts: np.ndarray,
+    probes: int | None, metric: str, size: int,
 ) -> DataFrame:
-    """(rep, vector, home, home_block, cell): the cells a query still has to search."""
-    shared = queries.sparkSession.sparkContext.broadcast((pivots, radius))
+    """(rep, vector, cell, worst, tiles): the tiles besides ``home`` that a query still has to search."""
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, radius, first, parts))
 
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, size = shared.value
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, radii, start, count = shared.value
+        last = int((start + count).max())
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            cells = []
-            limit = batch["limit"].to_numpy()
-            for part, d in _pivot_distances(_matrix(batch["vector"]), centres):
-                if probes is None:
-                    near = (d - size <= limit[part, None] + 1e-6) & (size >= 0)
-                else:
-                    last = min(probes, d.shape[1]) - 1
-                    near = d <= np.partition(d, last, axis=1)[:, last : last + 1]
-                cells.extend(np.nonzero(line)[0].astype(np.int32) for line in near)
-            yield batch.drop(columns="limit").assign(cells=cells)
-
-    found = queries.select("rep", "vector", "home", "home_block", "limit").mapInPandas(
-        reach, "rep bigint, vector array<double>, home int, home_block int, cells array<int>"
+            home, worst = batch.column("home").to_numpy(), batch.column("worst").to_numpy()
+            lists = []
+            for part, near in _in_reach(_matrix(batch.column("vector")), worst, centres, radii, probes, metric, size):
+                reached = np.zeros((len(near), last + 1), dtype=bool)
+                for cell in np.nonzero(near.any(axis=0))[0]:
+                    reached[:, start[cell] : start[cell] + count[cell]] |= near[:, cell : cell + 1]
+                reached[np.arange(len(near)), home[part]] = False
+                lists.extend(np.nonzero(line)[0].astype(np.int32) for line in reached)
+            columns = [batch.column(c) for c in ("rep", "vector", "cell", "worst")]
+            yield pa.record_batch(
+                [*columns, pa.array(lists, pa.list_(pa.int32()))], names=["rep", "vector", "cell", "worst", "tiles"]
+            )
+
+    return queries.select("rep", "vector", "cell", "worst", "home").mapInArrow(
+        reach, "rep bigint, vector binary, cell int, worst double, tiles array<int>"
     )
-    return found.withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def _batched(queries: DataFrame, base: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and base of each tile in batches of about ``most`` queries; every batch meets the whole tile."""
+    # one row per tile
+    counts = queries.groupBy("tile").agg(F.ceil(F.count("*") / most).cast("int").alias("batches"))
+    dealt = queries.join(counts, "tile").withColumn("batch", F.pmod(F.xxhash64("rep"), "batches").cast("int"))
+    copies = base.join(counts, "tile").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    return dealt, copies
 
 
 def _nearest(
@@ -168,13 +293,14 @@ def _nearest(
     probes: int | None, pivots: int | None,
 ) -> DataFrame:
     """(id, neighbour, distance, rank) for (id, vector) frames; without ``others`` among the points."""
+    spark = points.sparkSession
     alone = others is None
     most = k + 1 if alone else k
     distinct = settle(_distinct(points if alone else others, most))
     summary = distinct.agg(F.count("*").alias("n"), F.first(F.size("vector")).alias("size")).first()
     n, size = summary["n"], summary["size"] or 1
     if n == 0:
-        empty = points.sparkSession.createDataFrame([], "id bigint, neighbour bigint, distance double, rank int")
+        empty = spark.createDataFrame([], "id bigint, neighbour bigint, distance double, rank int")
         return empty
     wanted = pivots or max(1, min(int(n**0.5), n // 512))
     wanted = min(wanted, max(1, PIVOT_BYTES // (8 * size)))
@@ -182,45 +308,38 @@ def _nearest(
     centres = np.array([row["vector"] for row in sample])
 
     base = settle(_locate(distinct.select("rep", "vector"), centres))
-    cells = base.groupBy("cell").agg(
-        F.max("off").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
-    )
     # one row per pivot
-    found = cells.collect()
-    radius = np.full(len(centres), -1.0)
+    found = base.groupBy("cell").agg(F.max("off").alias("radius"), F.count("*").alias("n")).collect()
+    radius, counts = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=np.int64)
     for row in found:
-        radius[row["cell"]] = row["radius"]
-    hashed = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-    blocks = base.join(cells, "cell").select("rep", "vector", "cell", hashed.alias("block"))
+        radius[row["cell"]], counts[row["cell"]] = row["radius"], row["n"]
+    tile = min(BLOCK, max(LEAST, -(-n // TILES)))
+    first_tile, parts, _ = _tiles(counts, centres, tile)
+    cells = spark.createDataFrame(
+        [(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first_tile, parts))], "cell int, first int, parts int"
+    )
+    own = (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
+    tiled = base.join(cells, "cell").select("rep", "vector", "cell", own.alias("tile"))
 
     if alone:
-        sources, located = None, base
+        sources, home = None, tiled
     else:
         sources = settle(_sources(points))
-        located = _locate(sources.select("rep", "vector").distinct(), centres)
-        # the own cell of a query may be empty only if no base vector is closest to its pivot,
-        # and every pivot is a base vector
-    home = settle(
-        located.join(cells, "cell").select("rep", "vector", "cell", hashed.alias("block"))
-    )
-    first = settle(_search(home, blocks, most, metric, size))
-    bound = first.groupBy("rep").agg(F.count("*").alias("hits"), F.max("distance").alias("worst"))
-    factor = 4.0 / size if metric == "hamming" else 2.0
+        located = settle(_locate(sources.select("rep", "vector").distinct(), centres))
+        home = located.join(cells, "cell").select("rep", "vector", "cell", own.alias("tile"))
+    search = (centres, radius, most, metric, size, probes)
+    unknown = home.withColumn("worst", F.lit(float("inf")))
+    first = settle(_search(*_batched(unknown, tiled, tile), *search))
+    bound = first.groupBy("rep").agg(F.count("*").alias("hits"), F.max("distance").alias("_worst"))
     limited = home.join(bound, "rep", "left").select(
-        "rep", "vector", F.col("cell").alias("home"), F.col("block").alias("home_block"),
-        F.when(F.col("hits") >= most, F.sqrt(F.greatest(F.col("worst"), F.lit(0.0)) * factor))
-        .otherwise(F.lit(4.0)).alias("limit"),
-    )
-    reached = _cells_in_reach(limited, centres, radius, probes)
-    routes = (
-        reached.join(cells.select("cell", "blocks"), "cell")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .filter((F.col("cell") != F.col("home")) | (F.col("block") != F.col("home_block")))
-        .select("rep", "vector", "cell", "block")
+        "rep", "vector", "cell", F.col("tile").alias("home"),
+        F.when(F.col("hits") >= most, F.col("_worst")).otherwise(F.lit(float("inf"))).alias("worst"),
     )
-    routes = settle(routes)
+    # settled with a list of tiles, so that a vector is written once and not per tile
+    reached = settle(_tiles_in_reach(limited, centres, radius, first_tile, parts, probes, metric, size))
+    routes = reached.withColumn("tile", F.explode("tiles")).drop("tiles")
     if not routes.isEmpty():
-        first = first.unionByName(_search(routes, blocks, most, metric, size))
+        first = first.unionByName(_search(*_batched(routes, tiled, tile), *search))
     best = first_per_group(first, ["rep"], [F.asc("distance"), F.asc("near")], most)
 
     listed = best.join(distinct.select(F.col("rep").alias("near"), "ids"), "near").select(
