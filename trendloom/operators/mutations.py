@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import catalog
 from trendloom.operators.ranking import dedup_by_key, with_position
-from trendloom.session import settle
+from trendloom.session import settle, tasks_for
 from trendloom.schemas import DISTRIBUTED, KEYS, PREDICTED, TRAINED
 
 
@@ -25,8 +25,12 @@ def insert_or_ignore(
 
 
 def new_rows(
-    target: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[Column] | None = None
+    target: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[Column] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
+    """The rows whose key ``target`` lacks, one per key; both sides are dealt into ``tasks`` if given."""
+    if tasks:
+        rows, target = (f.repartition(tasks, *key) for f in (rows, target.select(*key)))
     order = order or [F.asc(c) for c in rows.columns if c not in key]
     fresh = dedup_by_key(rows, key, order or [F.asc(c) for c in key])
     return fresh.join(target.select(*key), list(key), "left_anti").select(*rows.columns)
@@ -134,6 +138,12 @@ def import_assignments(
     )
 
 
+def _new_links(paper_topics: DataFrame, links: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``new_rows`` for links; both are stored, so that counting them reads no rows."""
+    tasks = tasks_for(links.sparkSession, max(paper_topics.count(), links.count()))
+    return new_rows(paper_topics, links, KEYS["paper_topics"], order, tasks)
+
+
 def _import_links(
     topic: DataFrame, paper_topics: DataFrame, model: str, assignments: DataFrame, transformed: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +151,7 @@ def _import_links(
         "paper_id", "topic_id", "probability", F.lit(transformed).alias("transformed")
     )
     # settled, as the links are counted here and written by the caller
-    fresh = settle(new_rows(paper_topics, links, KEYS["paper_topics"], [F.desc("probability")]))
+    fresh = settle(_new_links(paper_topics, settle(links), [F.desc("probability")]))
     merged = paper_topics.unionByName(fresh, allowMissingColumns=True)
     return catalog.topic_paper_count(topic, merged), merged
 
@@ -153,7 +163,9 @@ def update_hierarchy(
 
     Of several assignments of a paper that lead to one parent the surest is copied.
     """
-    parent = catalog.parent_topic(paper_topics, topic, model, parent_model)
+    # links of a paper meet in tasks of bounded size
+    dealt = paper_topics.repartition(tasks_for(topic.sparkSession, paper_topics.count()), "paper_id")
+    parent = catalog.parent_topic(dealt, topic, model, parent_model)
     # settled, as topics and links follow from it, and as links are counted here and written after
     found = settle(parent.select(F.col("child_id").alias("id"), F.col("parent_id").alias("_parent")))
     mine = (F.col("model") == model) & catalog.is_topic()
@@ -169,7 +181,7 @@ def update_hierarchy(
         "paper_id", F.col("_up").alias("topic_id"), "probability", "transformed"
     )
     order = [F.desc("probability"), F.asc("transformed")]
-    fresh = settle(new_rows(paper_topics, copies, KEYS["paper_topics"], order))
+    fresh = settle(_new_links(paper_topics, settle(copies), order))
     merged = paper_topics.unionByName(fresh, allowMissingColumns=True)
     return catalog.topic_paper_count(linked, merged), merged
 

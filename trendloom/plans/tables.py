@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.operators import catalog, ingest, mutations
 from trendloom.plans import cleaning, monthly, views  # noqa: F401  (their views are used)
 from trendloom.plans.registry import query, view
-from trendloom.session import work_dir
+from trendloom.session import settle, work_dir
 from trendloom.sources import records, tables
 
 
@@ -81,7 +81,7 @@ def _new_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def import_topics(spark, sf):
     topics, links = _new_model(spark, sf)
     topic, _ = mutations.import_topics(
-        views.bare_topic(spark, sf), views.paper_topics(spark, sf), 2, "fresh", topics, links, without_outliers=True
+        views.bare_topic(spark, sf), settle(views.paper_topics(spark, sf)), 2, "fresh", topics, links, without_outliers=True
     )
     return topic.select("id", "hierarchy", "model", "orig_id", "paper_count")
 
@@ -95,7 +95,7 @@ def import_topics(spark, sf):
 def import_assignments(spark, sf):
     local = views.m0_links(spark, sf).select("paper_id", F.col("orig_id").alias("topic_id"), "probability")
     _, links = mutations.import_assignments(
-        views.bare_topic(spark, sf), views.paper_topics(spark, sf), "m1", local
+        views.bare_topic(spark, sf), settle(views.paper_topics(spark, sf)), "m1", local
     )
     return links.select((F.col("paper_id") * 10000 + F.col("topic_id")).alias("id"), "*")
 
@@ -109,7 +109,10 @@ def import_assignments(spark, sf):
                        SELECT s.parent_id, x.paper_id FROM paper_topics x JOIN shared s ON s.child_id = x.topic_id AND s.rn = 1)
                      GROUP BY 1) c ON c.topic_id = t.id""", "topic shared")
 def update_hierarchy(spark, sf):
-    topic, _ = mutations.update_hierarchy(views.topic(spark, sf), views.paper_topics(spark, sf), "m0", "m1")
+    # a stored table in use: read for the topics, their parents and the copies
+    links = settle(views.paper_topics(spark, sf))
+    topics = settle(catalog.topic_paper_count(views.bare_topic(spark, sf), links))
+    topic, _ = mutations.update_hierarchy(topics, links, "m0", "m1")
     return topic.select("id", "parent_id", "paper_count")
 
 

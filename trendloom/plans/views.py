@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.plans.registry import view
+from trendloom.session import TASK_ROWS, settle, tasks_for
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,6 +61,10 @@ def _category_id() -> Column:
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with their part, dealt by paper into tasks of bounded size, so that what groups or
+    joins by paper needs no further shuffle."""
+    lines = load(spark, sf, "lineitem")
+    tasks = tasks_for(spark, lines.count())  # from the file's footer
     parts = load(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"),
         F.concat_ws(".", "p_type", F.substring("p_brand", 7, 9)).alias("name"),
@@ -67,9 +72,11 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
         (_brand() - 2).alias("orig_id"),
     )
     orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    if parts.count() > TASK_ROWS:
+        lines = lines.repartition(tasks, "l_partkey")
     return (
-        load(spark, sf, "lineitem")
-        .join(parts, "l_partkey")
+        lines.join(parts, "l_partkey")
+        .repartition(tasks, "l_orderkey")
         .join(orders, "l_orderkey", "left_semi")
         .withColumnRenamed("l_orderkey", "paper_id")
     )
@@ -146,14 +153,21 @@ def m0_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def paper_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Assignments to the brand topics (model m0) and to their groups of five (model m1)."""
-    fine = m0_links(spark, sf)
-    coarse = (
-        fine.filter("orig_id >= 0")
-        .groupBy("paper_id", F.floor(F.col("orig_id") / 5).alias("group"))
-        .agg(F.max("probability").alias("probability"), F.min("transformed").alias("transformed"))
-        .select("paper_id", (F.col("group") + 100).cast("bigint").alias("topic_id"), "probability", "transformed")
+    flag, brand = F.col("l_returnflag"), F.col("orig_id")
+    fine = F.struct(F.lit("m0").alias("model"), (brand + 2).cast("bigint").alias("topic_id"))
+    coarse = F.struct(F.lit("m1").alias("model"), (F.floor(brand / 5) + 100).cast("bigint").alias("topic_id"))
+    return (
+        _links(spark, sf)
+        .select(
+            "paper_id",
+            F.inline(F.when(brand >= 0, F.array(fine, coarse)).otherwise(F.array(fine))),
+            (1 - F.col("l_discount")).alias("sure"),
+            F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("way"),
+        )
+        .groupBy("paper_id", "model", "topic_id")
+        .agg(F.max("sure").alias("probability"), F.min("way").alias("transformed"))
+        .drop("model")
     )
-    return fine.drop("orig_id").unionByName(coarse)
 
 
 view("bare_topic", """
@@ -196,15 +210,14 @@ def bare_topic(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(-1).alias("hierarchy"), F.concat(F.lit("subset_"), "p_type").alias("model"),
         F.lit(-1).alias("orig_id"), F.lit("-1_subset").alias("name"), F.lit("Outliers").alias("llm_label"),
     ).distinct()
-    return fine.unionByName(coarse).unionByName(subsets).withColumn(
-        "paper_count", F.lit(0).cast("bigint")
-    )
+    # a stored table in use: its size is known, so that links join it without a shuffle
+    return settle(fine.unionByName(coarse).unionByName(subsets).withColumn("paper_count", F.lit(0).cast("bigint")))
 
 
 def topic(spark: SparkSession, sf: str) -> DataFrame:
     from trendloom.operators.catalog import topic_paper_count
 
-    return topic_paper_count(bare_topic(spark, sf), paper_topics(spark, sf))
+    return settle(topic_paper_count(bare_topic(spark, sf), paper_topics(spark, sf)))
 
 
 view("paper_vectors", """

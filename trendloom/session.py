@@ -25,6 +25,15 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
+TASK_ROWS = 250_000  # of narrow rows that a task sorts or groups
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Shuffle partitions for so many narrow rows: as many as Spark would take, or more, so that none
+    holds more than about ``TASK_ROWS`` of them."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and working tables.
 
