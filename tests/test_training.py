@@ -74,6 +74,17 @@ def test_sweep_and_selection(spark, papers):
         training.train_model(*store, papers, "m", 0, none)
 
 
+def test_sweep_goes_on_with_fewer_clusters(spark, papers):
+    """No setting has four clusters: an error, unless fewer will do."""
+    store = [spark.createDataFrame([], s) for s in (TOPIC, PAPER_TOPICS, TOPIC_STATS)]
+    chosen = papers.filter("id < 21 or id = 24").select("id")
+    settings = training.Settings(
+        neighbours=5, eps=0.1, top_words=3, sweep_samples=(2, 3), sweep_sizes=(2, 4, 9), min_clusters=4, strict=False
+    )
+    topic, _, _ = training.train_model(*store, papers, "m", 0, settings, selected=chosen)
+    assert {(r.orig_id, r.paper_count) for r in topic.collect()} == {(-1, 1), (0, 7), (1, 7), (2, 7)}
+
+
 def test_bits_assign_by_bits(spark):
     rng = np.random.default_rng(7)
     rows = []

@@ -184,6 +184,12 @@ def validity_score(clusters: DataFrame, forest: DataFrame, keys: Sequence[str] =
     )
 
 
+def enough_clusters(scores: DataFrame, min_clusters: int) -> int:
+    """``min_clusters``, or the most clusters of a setting with a score above 0 if that is less."""
+    most = scores.filter(F.col("score") > 0).agg(F.max("clusters")).first()[0]
+    return min_clusters if most is None else min(min_clusters, most)
+
+
 def best_setting(scores: DataFrame, min_clusters: int) -> tuple[int, int] | None:
     """(min_samples, min_cluster_size) of the best row of a sweep's scores, None if none will do."""
     fit = scores.filter((F.col("score") > 0) & (F.col("clusters") >= min_clusters))
@@ -193,13 +199,14 @@ def best_setting(scores: DataFrame, min_clusters: int) -> tuple[int, int] | None
 
 def cluster_sweep(
     neighbours: DataFrame, min_samples: Sequence[int], min_cluster_sizes: Sequence[int],
-    min_clusters: int, eps: float,
+    min_clusters: int, eps: float, strict: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, clusters): every pair of settings scored, and the clusters of the best pair.
 
     The graph, its components and its forest are worked out once for all ``min_samples``; sizes
     only decide which components count. Both lists are in ascending order. The best pair has the highest score above 0 with enough
-    clusters, the earliest on a tie (``min_samples`` varies slowest).
+    clusters, the earliest on a tie (``min_samples`` varies slowest). If no pair has enough clusters,
+    that is an error, or, unless ``strict``, the most that a pair with such a score has are enough.
     """
     cores = [core_distance(neighbours, s).withColumn("run", F.lit(i)) for i, s in enumerate(min_samples)]
     core = settle(reduce(DataFrame.unionByName, cores))
@@ -216,7 +223,8 @@ def cluster_sweep(
     numbers = [forest.withColumn("size_no", F.lit(i)) for i in range(len(min_cluster_sizes))]
     keys = ["run", "size_no"]
     scores = settle(validity_score(clusters, reduce(DataFrame.unionByName, numbers), keys))
-    fit = scores.filter((F.col("score") > 0) & (F.col("clusters") >= min_clusters))
+    enough = min_clusters if strict else enough_clusters(scores, min_clusters)
+    fit = scores.filter((F.col("score") > 0) & (F.col("clusters") >= enough))
     best = fit.orderBy(F.desc(F.round("score", 12)), "run", "size_no").first()
     if best is None:
         raise ValueError("no setting gives enough clusters with a positive score")

@@ -18,7 +18,8 @@ class Settings:
     """How a model is trained. ``probes`` limits the neighbour search, None searches exactly.
 
     ``sweep_samples`` and ``sweep_sizes``, both ascending, replace ``min_samples`` and
-    ``min_cluster_size`` by the pair with the best validity among those with ``min_clusters``.
+    ``min_cluster_size`` by the pair with the best validity among those with ``min_clusters``; where
+    no pair has as many, training fails, or, unless ``strict``, goes on with the most there are.
     """
 
     neighbours: int = 24
@@ -35,6 +36,7 @@ class Settings:
     sweep_samples: tuple[int, ...] = ()
     sweep_sizes: tuple[int, ...] = ()
     min_clusters: int = 1
+    strict: bool = True
 
 
 @dataclass(frozen=True)
@@ -82,9 +84,10 @@ def train(
     min_samples, found = settings.min_samples, None
     if seeds is None and settings.sweep_samples and settings.sweep_sizes:
         scores, found = clusters.cluster_sweep(
-            near, settings.sweep_samples, settings.sweep_sizes, settings.min_clusters, settings.eps
+            near, settings.sweep_samples, settings.sweep_sizes, settings.min_clusters, settings.eps, settings.strict
         )
-        min_samples, _ = clusters.best_setting(scores, settings.min_clusters)
+        enough = settings.min_clusters if settings.strict else clusters.enough_clusters(scores, settings.min_clusters)
+        min_samples, _ = clusters.best_setting(scores, enough)
     core = settle(clusters.core_distance(near, min_samples))
     if found is not None:
         pass
