@@ -25,6 +25,8 @@ PAD_WORD, PAD_WEIGHT = "", 0.00001
 WINDOW = 4
 MIN_WINDOW_SIMILARITY = 0.1
 MIN_SIMILARITY = 0.15
+BLOCK_CHARS = 1 << 23  # of the documents whose terms are looked up together
+LEAST_CHARS = 1 << 17  # fewest, where there are as many
 
 
 def term_counts(
@@ -212,8 +214,8 @@ def maximal_merges(tree: DataFrame, distance: float) -> DataFrame:
     return close.join(inner, "parent_id", "left_anti").select(*tree.columns)
 
 
-def _occurrences(words: Column, window: int, start: int, end: int, stop_words: Sequence[str]) -> Column:
-    """Terms of a text with their first and last word, as far as a run of ``window`` words holds them.
+def _occurrences(words: Column, window: int | None, start: int, end: int, stop_words: Sequence[str]) -> Column:
+    """Terms of a text, as far as a run of ``window`` words holds them.
 
     Stop words take a place in the text but in no term.
     """
@@ -233,8 +235,92 @@ def _occurrences(words: Column, window: int, start: int, end: int, stop_words: S
             )
             run = F.filter(longer, lambda x: x["term"].isNotNull())
         if size >= start:
-            found.append(F.filter(run, lambda x: x["q"] - x["p"] < window) if size > 1 else run)
-    return F.concat(*found)
+            short = size > 1 and window is not None
+            found.append(F.filter(run, lambda x: x["q"] - x["p"] < window) if short else run)
+    return F.transform(F.concat(*found), lambda x: x["term"])
+
+
+def _in_blocks(docs: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """(keys, block, doc_id, words) with words joined by spaces, and the columns that name a block.
+
+    A block holds the documents of about ``BLOCK_CHARS`` (of one group by ``keys``) and lies in one
+    task. Terms repeat within a block, so looking them up once per block moves far fewer rows
+    than once per occurrence.
+    """
+    spark = docs.sparkSession
+    worded = settle(
+        docs.select(*keys, "doc_id", F.array_join(text.words(F.col("text")), " ").alias("words")).filter(F.col("words") != "")
+    )
+    # a row per group
+    sizes = worded.groupBy(*keys).agg(F.sum(F.length("words")).alias("_chars"))
+    total = sizes.agg(F.sum("_chars")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_CHARS))
+    most = min(BLOCK_CHARS, max(total // tasks, LEAST_CHARS))  # small tables keep all tasks busy
+    parts = F.ceil(F.col("_chars") / most)
+    if keys:
+        worded = worded.join(sizes.select(*keys, parts.alias("_parts")), list(keys))
+    else:
+        worded = worded.withColumn("_parts", F.lit(max(-(-total // most), 1)))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("bigint").alias("block")
+    names = [*keys, "block"]
+    return worded.select(*keys, block, "doc_id", "words").repartition(tasks, *names), names
+
+
+def _block_terms(
+    blocks: DataFrame, names: Sequence[str], window: int | None, start: int, end: int, stop_words: Sequence[str]
+) -> DataFrame:
+    """(names, term): the distinct terms of each block, found where the block lies."""
+    terms = _occurrences(F.split("words", " "), window, start, end, stop_words)
+    return blocks.select(*names, F.explode(F.array_distinct(terms)).alias("term")).distinct()
+
+
+def _found_terms(
+    rows: pa.Table, known: pa.Table, window: int | None, start: int, end: int, stop_words: Sequence[str]
+) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of a block that ``known`` (term) holds, in order of document and first word:
+    documents, words of each, and per term its document, first word, last word and row in ``known``.
+
+    Rows with one doc_id are one document.
+    """
+    ids = rows["doc_id"].combine_chunks().dictionary_encode("encode")
+    owner = ids.indices.to_numpy()
+    lists = pc.split_pattern(rows["words"].combine_chunks(), " ")
+    sizes = pc.list_value_length(lists).to_numpy()
+    n = np.zeros(len(ids.dictionary), dtype=np.int64)
+    np.maximum.at(n, owner, sizes)
+    words = lists.flatten()
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    stops = pc.is_in(words, value_set=pa.array(list(stop_words), words.type))
+    kept = np.nonzero(~stops.to_numpy(zero_copy_only=False))[0]
+    line, place, words = line[kept], place[kept], words.take(pa.array(kept))
+    vocabulary = known["term"].combine_chunks()
+    found = []
+    for size in range(start, end + 1):
+        first = np.arange(max(len(kept) - size + 1, 0))
+        last = first + size - 1
+        held = line[first] == line[last]
+        if size > 1 and window is not None:
+            held &= place[last] - place[first] < window
+        first, last = first[held], last[held]
+        if not len(first):
+            continue
+        parts = [words.take(pa.array(first + i)) for i in range(size)]
+        term = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type))
+        row = pc.fill_null(pc.index_in(term, value_set=vocabulary), -1).to_numpy()
+        known_row = row >= 0
+        first, last = first[known_row], last[known_row]
+        found.append((owner[line[first]], place[first], place[last], row[known_row].astype(np.int64)))
+    if not found:
+        return ids.dictionary, n, *(np.zeros(0, dtype=np.int64) for _ in range(4))
+    doc, p, q, term = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((p, doc))
+    return ids.dictionary, n, doc[order], p[order], q[order], term[order]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] … starts[i] + sizes[i] - 1 of all i, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 def _run_sums(
@@ -272,30 +358,44 @@ def _run_sums(
     return total
 
 
-def _mixer(window: int, least: float):
-    """For the rows of one document: its mix of topics."""
+def _mixer(window: int, least: float, strong: float, start: int, end: int, stop_words: Sequence[str]):
+    """For the documents of one block and its terms with their topics: the mix of each document."""
 
-    def mix(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("p")
-        lists, values = rows["topics"].combine_chunks(), rows["units"].combine_chunks()
-        sizes = pc.list_value_length(lists).to_numpy()
+    def mix(rows: pa.Table, known: pa.Table) -> pa.Table:
+        ids, n, doc, p, q, term = _found_terms(rows, known, window, start, end, stop_words)
+        lists, values = known["topics"].combine_chunks(), known["units"].combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        starts, unit, idf = np.cumsum(sizes) - sizes, values.flatten().to_numpy(), known["idf"].to_numpy()
         names, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        share = np.zeros(0)
-        if len(names):
-            idf = rows["idf"].to_numpy()
-            term = rows["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+        docs, topics, shares = [], [], []
+        edges = np.nonzero(np.diff(doc, prepend=-1))[0]
+        for low, high in zip(edges, np.append(edges[1:], len(doc))):
+            held, mine = np.unique(term[low:high], return_inverse=True)
+            cells = _ranges(starts[held], sizes[held])
+            candidates = np.unique(column[cells][unit[cells] >= strong])
+            if not len(candidates):
+                continue
+            at = np.minimum(np.searchsorted(candidates, column[cells]), len(candidates) - 1)
+            taken = candidates[at] == column[cells]
+            owner = np.repeat(np.arange(len(held)), sizes[held])[taken]
+            own = np.bincount(owner, minlength=len(held))
+            spread = _ranges((np.cumsum(own) - own)[mine], own[mine])
+            weight = idf[held][mine]
             share = _run_sums(
-                rows["p"].to_numpy(), rows["q"].to_numpy(), term, idf, sizes, column,
-                np.repeat(idf, sizes) * values.flatten().to_numpy(),
-                max(rows["n"][0].as_py() - window + 1, 1), len(names), window, least,
+                p[low:high], q[low:high], mine, weight, own[mine], at[taken][spread],
+                np.repeat(weight, own[mine]) * unit[cells][taken][spread],
+                max(int(n[doc[low]]) - window + 1, 1), len(candidates), window, least,
             )
-        kept = np.nonzero(share)[0]
-        doc = rows["doc_id"].slice(0, 1).to_pylist() * len(kept)
+            kept = np.nonzero(share)[0]
+            docs.append(np.full(len(kept), doc[low]))
+            topics.append(candidates[kept])
+            shares.append(share[kept] / share.sum() if len(kept) else share[kept])
+        chosen = [np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in ((docs, int), (topics, int), (shares, float))]
         return pa.table(
             {
-                "doc_id": pa.array(doc, rows.schema.field("doc_id").type),
-                "topic_id": pa.array(names[kept], lists.type.value_type),
-                "probability": pa.array(share[kept] / share.sum(), pa.float64()),
+                "doc_id": ids.take(pa.array(chosen[0])),
+                "topic_id": pa.array(names[chosen[1]], lists.type.value_type),
+                "probability": pa.array(chosen[2], pa.float64()),
             }
         )
 
@@ -319,48 +419,32 @@ def approximate_distribution(
     min / √m or more in the topic's unit vector, and a topic has at most m / min² such terms.
     These strong terms choose the topics for which a document is worked out.
 
-    Terms are looked up once per occurrence by a join; the runs of a document are then added up
-    where its terms meet, in one task per document.
+    Documents are dealt into blocks. Terms are looked up once per block by a join; a task then adds
+    up the runs of the documents of a block, one document after the other.
     """
     most = sum(max(window - n + 1, 0) for n in range(start, end + 1))
-    floor = min_window_similarity / most**0.5
-    unit = settle(_unit(weights))
-    # per topic at most most / min_window_similarity² rows; the margin covers rounding
-    strong = unit.filter(F.col("unit") >= floor * (1 - 1e-9)).select("term", "topic_id")
-    proper = unit.groupBy("term").agg(
-        F.collect_list(F.struct("topic_id", "unit")).alias("entries")
-    )
+    # the margin covers rounding
+    strong = min_window_similarity / most**0.5 * (1 - 1e-9)
+    # a row per topic
+    proper = weights.filter(F.col("topic_id") != OUTLIER)
+    lengths = proper.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_length"))
+    entry = F.struct("topic_id", (F.col("weight") / F.col("_length")).alias("unit"))
     # a term that only outliers hold has no entries, yet counts in the length of a run
-    entries = weights.groupBy("term").agg(F.first("idf").alias("idf")).join(proper, "term", "left")
-
-    terms = settle(
-        docs.select("doc_id", text.words(F.col("text")).alias("words"))
-        .select(
-            "doc_id", F.size("words").alias("n"),
-            F.inline(_occurrences(F.col("words"), window, start, end, stop_words)),
-        )
+    entries = weights.join(lengths, "topic_id", "left").groupBy("term").agg(
+        F.first("idf").alias("idf"), F.collect_list(F.when(F.col("_length").isNotNull(), entry)).alias("entries")
     )
-    chosen = (
-        terms.select("doc_id", "term").join(strong, "term").groupBy("doc_id").agg(
-            F.collect_set("topic_id").alias("candidates")
-        )
-    )
-    candidate = F.filter(
-        F.coalesce("entries", F.array().cast(entries.schema["entries"].dataType)),
-        lambda e: F.array_contains("candidates", e["topic_id"]),
-    )
-    parts = (
-        terms.join(chosen, "doc_id")
+
+    # rows without a key have no document to belong to
+    blocks, names = _in_blocks(docs.filter(F.col("doc_id").isNotNull()))
+    known = (
+        _block_terms(blocks, names, window, start, end, stop_words)
         .join(entries, "term")
-        .select("doc_id", "n", "p", "q", "term", "idf", candidate.alias("entries"))
-        .select(
-            "doc_id", "n", "p", "q", "term", "idf",
-            F.col("entries.topic_id").alias("topics"), F.col("entries.unit").alias("units"),
-        )
+        .select(*names, "term", "idf", F.col("entries.topic_id").alias("topics"), F.col("entries.unit").alias("units"))
     )
-    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("doc_id", docs), ("topic_id", unit))}
-    return parts.groupBy("doc_id").applyInArrow(
-        _mixer(window, min_window_similarity),
+    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("doc_id", docs), ("topic_id", weights))}
+    # renamed, as both sides come from one table
+    return blocks.groupBy(*names).cogroup(known.toDF(*known.columns).groupBy(*names)).applyInArrow(
+        _mixer(window, min_window_similarity, strong, start, end, stop_words),
         f"doc_id {kinds['doc_id']}, topic_id {kinds['topic_id']}, probability double",
     )
 
@@ -397,20 +481,42 @@ def representative_documents(
     end: int = 2,
     stop_words: Sequence[str] = text.STOP_WORDS,
 ) -> DataFrame:
-    """(topic_id, doc_id, similarity): the ``n`` documents of each topic closest to its terms."""
-    term = F.explode(text.terms(F.col("text"), start, end, stop_words)).alias("term")
-    counted = docs.select("doc_id", "topic_id", term).groupBy("doc_id", "topic_id", "term").agg(
-        F.count("*").alias("n")
+    """(topic_id, doc_id, similarity): the ``n`` documents of each topic closest to its terms.
+
+    Terms are looked up once per block of documents of a topic.
+    """
+    blocks, names = _in_blocks(docs.filter(F.col("topic_id").isNotNull()), ["topic_id"])
+    known = (
+        _block_terms(blocks, names, None, start, end, stop_words)
+        .join(weights.select("topic_id", "term", "idf", "weight"), ["topic_id", "term"])
+        .select(*names, "term", "idf", "weight")
+    )
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "topic_id")}
+
+    def products(rows: pa.Table, terms: pa.Table) -> pa.Table:
+        ids, _, doc, _, _, term = _found_terms(rows, terms, None, start, end, stop_words)
+        idf, weight = terms["idf"].to_numpy(), terms["weight"].to_numpy()
+        key, count = np.unique(doc.astype(np.int64) * max(len(idf), 1) + term, return_counts=True)
+        doc, term = key // max(len(idf), 1), key % max(len(idf), 1)
+        x = count * idf[term]
+        dot, length = (np.bincount(doc, weights=v, minlength=len(ids)) for v in (x * weight[term], x**2))
+        kept = np.unique(doc)
+        topic = rows["topic_id"].slice(0, 1).to_pylist() * len(kept)
+        return pa.table(
+            {
+                "topic_id": pa.array(topic, rows.schema.field("topic_id").type),
+                "doc_id": ids.take(pa.array(kept)),
+                "_dot": pa.array(dot[kept] / np.sqrt(length[kept]), pa.float64()),
+            }
+        )
+
+    dots = blocks.groupBy(*names).cogroup(known.toDF(*known.columns).groupBy(*names)).applyInArrow(
+        products, f"topic_id {kinds['topic_id']}, doc_id {kinds['doc_id']}, _dot double"
     )
-    x = F.col("n") * F.col("idf")
-    matched = counted.join(weights.select("topic_id", "term", "idf", "weight"), ["topic_id", "term"])
     lengths = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_length"))
-    scored = (
-        matched.groupBy("doc_id", "topic_id")
-        .agg((F.sum(x * F.col("weight")) / F.sqrt(F.sum(x**2))).alias("_dot"))
-        .join(lengths, "topic_id")
-        # rounded, so that copies tie whatever the order of their sums
-        .select("topic_id", "doc_id", F.round(F.col("_dot") / F.col("_length"), 9).alias("similarity"))
+    # rounded, so that copies tie whatever the order of their sums
+    scored = dots.join(lengths, "topic_id").select(
+        "topic_id", "doc_id", F.round(F.col("_dot") / F.col("_length"), 9).alias("similarity")
     )
     return first_per_group(scored, ["topic_id"], [F.desc("similarity"), F.asc("doc_id")], n)
 
