@@ -36,6 +36,7 @@ BLOCK = 1 << 16  # most base vectors, and queries, of a task
 LEAST = 1024  # fewest, where there are as many
 BATCH = 512  # queries compared at a time
 SPAN = 4096  # with so many base vectors
+WHOLE = 1 << 14  # most vectors of a group that a task compares with each other
 PIVOT_BYTES = 32 << 20  # pivots travel to every task, so their size has a bound
 _CELL_ENTRIES = 1 << 22  # distances to pivots held at a time
 
@@ -382,6 +383,35 @@ def knn_cosine(
     return _nearest(unit(points), None if others is None else unit(others), k, "cosine", probes, pivots)
 
 
+def knn_in_groups(points: DataFrame, group: str, k: int) -> DataFrame:
+    """``knn_cosine`` among the points (id, ``group``, embedding) of each group, all pairs compared.
+
+    A task holds one group, so groups have at most about ``WHOLE`` points. Ids are unique.
+    """
+    names = ["id", "neighbour", "distance", "rank"]
+
+    def nearest(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids = rows["id"].to_numpy()
+        vectors = rows["vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        found = []
+        for at in range(0, len(ids), BATCH):
+            part = slice(at, at + BATCH)
+            best = _Best(vectors[part], np.full(len(ids[part]), np.inf), k + 1, "cosine", vectors.shape[1])
+            for low in range(0, len(ids), SPAN):
+                best.look(ids[low : low + SPAN], vectors[low : low + SPAN])
+            other = best.near != ids[part][best.row]
+            row, near, distance = best.row[other], best.near[other], best.distance[other]
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            kept = rank <= k
+            found.append((ids[part][row[kept]], near[kept], distance[kept], rank[kept].astype(np.int32)))
+        return pa.table([np.concatenate(x) for x in zip(*found)], names=names)
+
+    scaled = scalars.normalize_vector(F.col("embedding")).alias("vector")
+    unit = points.select(F.col("id").cast("bigint").alias("id"), group, scaled).filter(F.col("vector").isNotNull())
+    return unit.groupBy(group).applyInArrow(nearest, "id bigint, neighbour bigint, distance double, rank int")
+
+
 def knn_hamming(
     points: DataFrame, k: int, others: DataFrame | None = None,
     probes: int | None = None, pivots: int | None = None,

@@ -4,8 +4,9 @@ A paper is a member of every subset that one of its categories belongs to. Membe
 go through neighbours, clusters, ranks and word weights side by side, told apart by their subset, so
 the number of jobs does not depend on the number of subsets and no name passes the driver.
 
-Neighbours stay within a subset because every vector gets a further coordinate per subset, in which
-members of different subsets are orthogonal: the cosine of two members becomes
+A subset of at most ``neighbours.WHOLE`` members is compared pair by pair in a task. Larger ones, of which
+there are few, go through the neighbour search together: neighbours stay within a subset because every
+vector gets a further coordinate per large subset, in which members of different subsets are orthogonal: the cosine of two members becomes
 (cos + C) / (1 + C) within a subset and cos / (1 + C) across. With C = 3 the farthest member
 of the own subset is nearer than the nearest of another, and cells of other subsets are ruled out
 like other far cells.
@@ -45,17 +46,24 @@ def knn_within(members: DataFrame, k: int, **search) -> DataFrame:
 
     ``members`` has unique ``id``, ``place`` (the subset's number from 0) and ``embedding``.
     """
-    count = (members.agg(F.max("place")).first()[0] or 0) + 1
+    sizes = members.groupBy("place").agg(F.count("*").alias("_n"))
+    large = sizes.filter(F.col("_n") > neighbours.WHOLE).select("place")
+    numbered = settle(with_position(large, [F.asc("place")], "_large"))
+    small = members.join(numbered, "place", "left_anti")
+    near = neighbours.knn_in_groups(small.select("id", "place", "embedding"), "place", k)
+    count = numbered.count()
+    if not count:
+        return near
     unit = scalars.normalize_vector(F.col("embedding"))
     own = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")),
-        lambda i: F.when(i == F.col("place"), F.lit(APART**0.5)).otherwise(F.lit(0.0)),
+        lambda i: F.when(i == F.col("_large"), F.lit(APART**0.5)).otherwise(F.lit(0.0)),
     )
-    wide = members.select("id", unit.alias("_unit"), own.alias("_own")).filter(F.col("_unit").isNotNull())
-    near = neighbours.knn_cosine(wide.select("id", F.concat("_unit", "_own").alias("embedding")), k, **search)
+    wide = members.join(numbered, "place").select("id", unit.alias("_unit"), own.alias("_own")).filter(F.col("_unit").isNotNull())
+    found = neighbours.knn_cosine(wide.select("id", F.concat("_unit", "_own").alias("embedding")), k, **search)
     # within a subset the stretched distance is at most 2 / (1 + APART), across it is larger
-    within = near.filter(F.col("distance") <= 2 / (1 + APART) + 1e-8)
-    return within.withColumn("distance", F.round(F.col("distance") * (1 + APART), 9))
+    within = found.filter(F.col("distance") <= 2 / (1 + APART) + 1e-8)
+    return near.unionByName(within.withColumn("distance", F.round(F.col("distance") * (1 + APART), 9)))
 
 
 def c_tf_idf_within(counts: DataFrame, min_df: int = 1) -> DataFrame:
