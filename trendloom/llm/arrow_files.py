@@ -29,6 +29,7 @@ from trendloom.session import settle, work_dir
 SEQUENCE = 2048
 SHARD_BYTES = 32 << 20  # of text
 BATCH_SEQUENCES = 128
+KEPT_PIECES = 600_000  # about the distinct pieces of a shard, some 120 MB, so that each is merged once
 
 
 class SequenceWriter:
@@ -159,7 +160,7 @@ def write_sequences(
 
         shard = TaskContext.get().partitionId()
         name = new_file(folder, f"shard-{shard:06d}") + ".arrow"
-        encode = encoder(tokenizer, added)
+        encode = encoder(tokenizer, added, KEPT_PIECES)
         wide = max(encode.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         out, position = None, 0
         for batch in batches:

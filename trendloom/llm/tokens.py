@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 # the vocabulary's own piece pattern, with its letter and number classes narrowed to Latin texts
@@ -24,6 +25,18 @@ PLAIN = re.compile("[\x00-\x1b -~¡-±´-¸º»¿-ɏ]*")
 KEPT_PIECES = 120_000  # of a worker, some 25 MB; the store starts anew beyond it
 
 
+class Pieces(dict):
+    """The ids of pieces, found by ``find`` when a piece is first asked for."""
+
+    def __init__(self, find: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.find(piece)
+        return ids
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 characters
     for themselves, the other bytes in ascending order from U+0100 on."""
@@ -33,9 +46,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes; ids of about ``kept`` pieces are stored."""
 
-    def __init__(self, path: str, added: bool = False) -> None:
+    def __init__(self, path: str, added: bool = False, kept: int = KEPT_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,15 +56,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not added
         tokens = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in tokens if added or not t.special]
-        self.known: dict[str, bytes] = {}
+        self.kept = kept
+        self.known = Pieces(self._piece)
         self.letters = byte_letters()
+        self.space = self.letters[0x20]
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece[1:].isalnum() and piece[0] == " ":
+            letters = self.space + piece[1:]  # most new pieces; visible ASCII stands for itself
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -59,22 +77,16 @@ class Encoder:
             return b""
         if not PLAIN.fullmatch(text) or any(token in text for token in self.added):
             return self._whole(text)
-        pieces = PIECES.findall(text)
-        new = list(set(pieces).difference(self.known))
-        if new:
-            if len(self.known) > KEPT_PIECES:
-                self.known = {}
-                new = list(set(pieces))
-            for piece in new:
-                self.known[piece] = self._piece(piece)
-        return b"".join(map(self.known.__getitem__, pieces))
+        if len(self.known) > self.kept:
+            self.known = Pieces(self._piece)
+        return b"".join(map(self.known.__getitem__, PIECES.findall(text)))
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, added: bool = False) -> Encoder:
-    """One encoder per vocabulary, way with added tokens and Python worker."""
-    if (path, added) not in _encoders:
-        _encoders[path, added] = Encoder(path, added)
-    return _encoders[path, added]
+def encoder(path: str, added: bool = False, kept: int = KEPT_PIECES) -> Encoder:
+    """One encoder per vocabulary, way with added tokens, size of its store and Python worker."""
+    if (path, added, kept) not in _encoders:
+        _encoders[path, added, kept] = Encoder(path, added, kept)
+    return _encoders[path, added, kept]
