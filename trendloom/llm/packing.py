@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import pieces_of, text_of, tidy
-from trendloom.llm.tokens import Encoder
+from trendloom.llm.tokens import Encoder, encoder
 from trendloom.session import settle
 
 CAPACITY = 2048
@@ -37,9 +37,11 @@ def token_pieces(
     capacity: int = CAPACITY,
     end_id: int = 0,
     added: bool = False,
+    kept: int | None = None,
 ) -> DataFrame:
     """The documents' ids, cut where longer than ``capacity``; the first piece takes the rest.
-    With ``added``, strings of added tokens get their ids.
+    With ``added``, strings of added tokens get their ids. With ``kept``, workers store the ids of so
+    many pieces of text from task to task; else a small store goes with its task.
 
     Columns: the key, ``piece`` (int, from 0), ``start`` and ``length`` (long) and ``ids``
     (binary, little-endian unsigned 32-bit).
@@ -49,7 +51,8 @@ def token_pieces(
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = Encoder(tokenizer, added).encode  # some 50 MB, gone when the task ends
+        # some 50 MB without ``kept``, gone when the task ends
+        encode = (encoder(tokenizer, added, kept) if kept else Encoder(tokenizer, added)).encode
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
