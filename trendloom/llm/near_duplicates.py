@@ -41,7 +41,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import text_of, tidy
+from trendloom.llm.common import small, text_of, tidy
 from trendloom.llm.components import components
 from trendloom.operators.ranking import first_per_group
 from trendloom.session import settle
@@ -50,6 +50,8 @@ BANDS, ROWS = 20, 4
 HEADS = 64  # pivots in a row
 BATCH = 16  # of the signature, between two looks at the posterior
 MISS = 1e-9
+WANTED = 1_000_000  # most ids, and
+NAMED = 250_000  # most classes (ids and digest), that are sent to all tasks; beyond, by shuffle
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MASK = (1 << 64) - 1
 
@@ -347,14 +349,15 @@ def near_duplicates(
     members = settle(banded.join(shared, "bucket"))
     candidates = settle(members.select("id").distinct())
     signs = settle(classes.join(candidates, "id", "left_semi"))
-    # full sets of the classes that share a bucket with another, each read once
+    # full sets of the classes that share a bucket with another, each read once; the ids of these
+    # classes go to the texts, as texts and sets are many times larger
     texts = docs.select(key, F.col(text).alias("text")).join(
-        signs.select("least").distinct(), F.col(key) == F.col("least"), "left_semi"
+        small(signs.select("least"), WANTED), F.col(key) == F.col("least"), "left_semi"
     )
     sets = settle(
         shingle_sets(texts.dropDuplicates(), shingle, key, "text")
         .withColumnRenamed("id", "least")
-        .join(signs.select("id", "least", "digest"), ["least", "digest"])
+        .join(small(signs.select("id", "least", "digest"), NAMED), ["least", "digest"])
         .select("id", "values")
     )
     ties = settle(_ties(named, classes))
