@@ -7,6 +7,7 @@ reading text again. A topic may hold a third of all terms; nothing here windows
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom import parcels
 from trendloom.functions import text
 from trendloom.operators.ranking import first_per_group, with_position
 from trendloom.schemas import OUTLIER
@@ -27,14 +29,71 @@ MIN_WINDOW_SIMILARITY = 0.1
 MIN_SIMILARITY = 0.15
 BLOCK_CHARS = 1 << 23  # of the documents whose terms are looked up together
 LEAST_CHARS = 1 << 17  # fewest, where there are as many
+COUNT_BYTES = 1 << 23  # of the words whose terms are counted together
+# sorted terms are stored by what they share with the one before
+TERMS = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
+
+
+def _counted(rows: pa.Table, start: int, end: int, stop_words: Sequence[str], parts: int) -> tuple[pa.Table, np.ndarray]:
+    """(topic_id, term, tf) of lines of words (topic_id, words), and the part each term goes to.
+
+    Words are numbered in order of their letters, runs in order of their words, so terms of a length come sorted.
+    """
+    topics = rows["topic_id"].combine_chunks().dictionary_encode("encode")
+    lists = pc.split_pattern(rows["words"].combine_chunks(), " ")
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    named = lists.flatten().dictionary_encode()
+    letters = pc.sort_indices(named.dictionary)
+    names = named.dictionary.take(letters)
+    place = np.empty(len(names), dtype=np.int64)
+    place[letters.to_numpy()] = np.arange(len(names))
+    word, line = place[named.indices.to_numpy()], np.repeat(np.arange(len(sizes)), sizes)
+    stops = pc.is_in(names, value_set=pa.array(list(stop_words), names.type)).to_numpy(zero_copy_only=False)
+    kept = ~stops[word]
+    word, line = word[kept], line[kept]
+    owner = topics.indices.to_numpy().astype(np.int64)[line]
+    hashes = np.fromiter((crc32(w) for w in names.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(names))
+    # of each run of a size: its number, and per number its text and hash
+    run, texts, mixed, found = word, names, hashes, []
+    for size in range(1, end + 1):
+        if size > 1:
+            after = word[size - 1 :]
+            held = line[: len(after)] == line[size - 1 :]
+            pairs = run[: len(after)] * len(names) + after
+            distinct, number = np.unique(pairs[held], return_inverse=True)
+            # a run cut off by the end of its line has no number
+            run = np.full(len(after), -1)
+            run[held] = number
+            head, tail = distinct // max(len(names), 1), distinct % max(len(names), 1)
+            texts = pc.binary_join_element_wise(texts.take(pa.array(head)), names.take(pa.array(tail)), pa.scalar(" ", names.type))
+            mixed = mixed[head] * np.uint64(0x9E3779B97F4A7C15) + hashes[tail]
+        if size >= start:
+            whole = run >= 0
+            key, tf = np.unique(run[whole] * len(topics.dictionary) + owner[: len(run)][whole], return_counts=True)
+            term, topic = key // len(topics.dictionary), key % len(topics.dictionary)
+            table = {"topic_id": topics.dictionary.take(pa.array(topic)), "term": texts.take(pa.array(term)), "tf": pa.array(tf, pa.int64())}
+            found.append((pa.table(table), ((mixed[term] ^ (mixed[term] >> np.uint64(29))) % np.uint64(parts)).astype(np.int64)))
+    return pa.concat_tables([t for t, _ in found]).combine_chunks(), np.concatenate([p for _, p in found])
 
 
 def term_counts(
     docs: DataFrame, start: int = 1, end: int = 2, stop_words: Sequence[str] = text.STOP_WORDS
 ) -> DataFrame:
-    """(topic_id, term, tf) over the documents of each topic; partial sums precede the shuffle."""
-    term = F.explode(text.terms(F.col("text"), start, end, stop_words)).alias("term")
-    return docs.select("topic_id", term).groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
+    """(topic_id, term, tf) over the documents of each topic; partial sums travel in parcels."""
+    parts = parcels.parts_for(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parcels.gathered(batches, COUNT_BYTES):
+            yield from parcels.sent(parcels.dealt(*_counted(rows, start, end, stop_words, parts)))
+
+    def add(rows: pa.Table) -> pa.Table:
+        sums = rows.group_by(["topic_id", "term"], use_threads=False).aggregate([("tf", "sum")])
+        return sums.rename_columns({"tf_sum": "tf"}).select(["topic_id", "term", "tf"]).sort_by([("term", "ascending")])
+
+    words = docs.select("topic_id", F.array_join(text.words(F.col("text")), " ").alias("words")).filter(F.col("words") != "")
+    partial = words.mapInArrow(count, "part int, parcel binary")
+    kind = docs.schema["topic_id"].dataType.simpleString()
+    return parcels.meet(partial, add, f"topic_id {kind}, term string, tf bigint")
 
 
 def vocabulary(counts: DataFrame, min_df: int = 1) -> DataFrame:
@@ -51,14 +110,19 @@ def c_tf_idf(counts: DataFrame, min_df: int = 1) -> DataFrame:
 
     A is the whole part of the mean number of terms per topic, f the total of the term.
     """
-    # a term has at most one row per topic, so a window per term is small
-    per_term = Window.partitionBy("term")
-    totals = counts.withColumns(
-        {"_f": F.sum("tf").over(per_term), "_topics": F.count("*").over(per_term)}
-    )
+    kinds = {c: counts.schema[c].dataType.simpleString() for c in ("topic_id", "tf")}
+
+    def totals(rows: pa.Table) -> pa.Table:
+        term = rows["term"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        rows = rows.append_column("_f", pa.array(np.bincount(term, weights=pc.fill_null(rows["tf"], 0).to_numpy())[term]))
+        return rows.filter(pa.array(np.bincount(term)[term] >= min_df))
+
+    # all rows of a term meet in one part
+    terms = parcels.deal(counts.select("topic_id", "term", "tf"), ["term"], parcels.parts_for(counts.sparkSession))
     # settled: the sizes of the topics and the weights are both made of it
-    kept = settle(totals.filter(F.col("_topics") >= min_df).drop("_topics"))
-    sizes = kept.groupBy("topic_id").agg(F.sum("tf").alias("_size"))
+    kept = settle(parcels.meet(terms, totals, f"topic_id {kinds['topic_id']}, term string, tf {kinds['tf']}, _f double"), **TERMS)
+    # a row per topic, settled so that Spark knows it is small and leaves the terms where they are
+    sizes = settle(kept.groupBy("topic_id").agg(F.sum("tf").alias("_size")))
     mean = sizes.select(F.floor(F.avg("_size")).alias("a")).first()["a"] or 0
     idf = F.log1p(F.lit(float(mean)) / F.col("_f"))
     return (
@@ -564,9 +628,10 @@ def mmr_keywords(
 
     A word stands for its weights over all topics. A group holds one topic's candidates.
     """
-    top = top_words(weights, candidates)
+    # a few rows per topic, settled so that the weights stay where they are
+    top = settle(top_words(weights, candidates))
     profile = (
-        weights.join(top.select("term").distinct(), "term", "left_semi")
+        weights.join(top.select("term"), "term", "left_semi")
         .groupBy("term")
         .agg(F.collect_list("topic_id").alias("topics"), F.collect_list("weight").alias("values"))
     )

@@ -58,15 +58,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and go on from there.
 
     Cuts the lineage, survives the loss of executors, and gives later plans the real size (so
-    that small sides broadcast) and column pruning.
+    that small sides broadcast) and column pruning. ``options`` are those of Spark's Parquet writer.
     """
     spark = df.sparkSession
     path = work_dir(spark, "settled")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
