@@ -47,7 +47,7 @@ def test_counts_of_terms_are_those_of_rows(spark, monkeypatch, start, end):
 def test_terms_travel_in_parcels(spark):
     counts = topics.term_counts(_docs(spark))
     weights = topics.c_tf_idf(counts)
-    for frame in (counts, weights):
+    for frame in (counts, weights, topics.topic_similarity(weights)):
         assert not _shuffled(frame)
     # tables of a row per topic go to the weights
     for frame in (weights, topics.mmr_keywords(weights)):
@@ -55,3 +55,16 @@ def test_terms_travel_in_parcels(spark):
     # a packed term takes a few bytes
     names = sorted(f"w{i % 300} w{i % 7919}" for i in range(20000))
     assert len(parcels.packed(pa.table({"topic_id": np.zeros(20000, dtype=int), "term": names, "tf": np.ones(20000, dtype=int)}))) < 6 * 20000
+
+
+def test_products_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    cells = rng.permutation(60 * 9)[:200]
+    rows = pa.table({"topic_id": cells % 9 * 5, "term": [f"t{c // 9}" for c in cells], "unit": rng.random(200)})
+    matrix = np.zeros((60, 9))
+    matrix[cells // 9, cells % 9] = rows["unit"].to_numpy()
+    for limit in (1 << 21, 20):
+        monkeypatch.setattr(topics, "CELLS", limit)
+        found = {(r["topic_a"], r["topic_b"]): r["product"] for r in topics._products(rows).to_pylist()}
+        want = {(a * 5, b * 5): (matrix[:, a] @ matrix[:, b]) for a in range(9) for b in range(a + 1, 9) if matrix[:, a] @ matrix[:, b]}
+        assert found == pytest.approx(want)

@@ -30,6 +30,7 @@ MIN_SIMILARITY = 0.15
 BLOCK_CHARS = 1 << 23  # of the documents whose terms are looked up together
 LEAST_CHARS = 1 << 17  # fewest, where there are as many
 COUNT_BYTES = 1 << 23  # of the words whose terms are counted together
+CELLS = 1 << 21  # of terms and topics in one matrix
 # sorted terms are stored by what they share with the one before
 TERMS = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 
@@ -182,40 +183,47 @@ def rank_topics_by_size(sizes: DataFrame) -> DataFrame:
     return ranked.unionByName(outliers).select("topic_id", "new_id")
 
 
+def _lengths(weights: DataFrame) -> DataFrame:
+    """(topic_id, _length) of each topic's vector; settled, so that Spark knows it is small."""
+    return settle(weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_length")))
+
+
 def _unit(weights: DataFrame) -> DataFrame:
     """Weights scaled so that each topic's vector has length one, outlier topic left out."""
     proper = weights.filter(F.col("topic_id") != OUTLIER)
-    lengths = proper.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_length"))
+    lengths = _lengths(proper)
     return proper.join(lengths, "topic_id").withColumn("unit", F.col("weight") / F.col("_length")).drop("_length")
 
 
-def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Products of topic pairs summed over the terms of a batch, as one matrix product."""
-    for batch in batches:
-        sizes = batch["topics"].map(len).to_numpy()
-        topics, column = np.unique(np.concatenate(batch["topics"].to_list()), return_inverse=True)
-        block = np.zeros((len(batch), len(topics)))
-        block[np.repeat(np.arange(len(batch)), sizes), column] = np.concatenate(batch["units"].to_list())
-        gram = block.T @ block
-        a, b = np.nonzero(np.triu(gram, 1))
-        yield pd.DataFrame({"topic_a": topics[a], "topic_b": topics[b], "product": gram[a, b]})
+def _products(rows: pa.Table) -> pa.Table:
+    """Products of topic pairs summed over the terms of ``rows``, as matrix products of some terms each."""
+    term = rows["term"].combine_chunks().dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+    shared = np.nonzero(np.bincount(term)[term] > 1)[0]
+    shared = shared[np.argsort(term[shared], kind="stable")]
+    _, term = np.unique(term[shared], return_inverse=True)
+    topics, column = np.unique(rows["topic_id"].to_numpy()[shared], return_inverse=True)
+    unit = rows["unit"].to_numpy()[shared]
+    gram = np.zeros((len(topics), len(topics)))
+    step = max(1, CELLS // max(len(topics), 1))
+    for low in range(0, term[-1] + 1 if len(term) else 0, step):
+        a, b = np.searchsorted(term, [low, low + step])
+        block = np.zeros((term[b - 1] - low + 1, len(topics)))
+        block[term[a:b] - low, column[a:b]] = unit[a:b]
+        gram += block.T @ block
+    a, b = np.nonzero(np.triu(gram, 1))
+    pairs = {"topic_a": topics[a], "topic_b": topics[b]}
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in pairs.items()} | {"product": pa.array(gram[a, b], pa.float64())})
 
 
 def topic_similarity(weights: DataFrame) -> DataFrame:
     """(topic_a, topic_b, similarity), a < b: cosine of topics that share a term, others have 0.
 
-    Each batch of terms yields at most one row per topic pair instead of one per term and pair.
+    Each part of the terms yields at most one row per topic pair instead of one per term and pair.
     """
-    unit = settle(_unit(weights).select(F.col("topic_id").cast("bigint").alias("topic_id"), "term", "unit"))
-    # at most one entry per topic in each list
-    shared = (
-        unit.groupBy("term")
-        .agg(F.collect_list("topic_id").alias("topics"), F.collect_list("unit").alias("units"))
-        .filter(F.size("topics") > 1)
-        .select("topics", "units")
-    )
-    parts = shared.mapInPandas(_products, "topic_a bigint, topic_b bigint, product double")
-    return parts.groupBy("topic_a", "topic_b").agg(F.sum("product").alias("similarity"))
+    unit = _unit(weights).select(F.col("topic_id").cast("bigint").alias("topic_id"), "term", "unit")
+    terms = parcels.deal(unit, ["term"], parcels.parts_for(weights.sparkSession))
+    products = parcels.meet(terms, _products, "topic_a bigint, topic_b bigint, product double")
+    return products.groupBy("topic_a", "topic_b").agg(F.sum("product").alias("similarity"))
 
 
 def topic_barchart_data(
@@ -227,7 +235,8 @@ def topic_barchart_data(
         .orderBy(F.desc("size"), F.asc("topic_id"))
         .limit(n_topics)
     )
-    return top_words(weights.join(largest, "topic_id", "left_semi"), n_words)
+    # settled, so that Spark knows it is small
+    return top_words(weights.join(settle(largest), "topic_id", "left_semi"), n_words)
 
 
 def merge_map(sizes: DataFrame, groups: DataFrame) -> DataFrame:
