@@ -68,3 +68,49 @@ def test_products_do_not_depend_on_slices(monkeypatch):
         found = {(r["topic_a"], r["topic_b"]): r["product"] for r in topics._products(rows).to_pylist()}
         want = {(a * 5, b * 5): (matrix[:, a] @ matrix[:, b]) for a in range(9) for b in range(a + 1, 9) if matrix[:, a] @ matrix[:, b]}
         assert found == pytest.approx(want)
+
+
+def _prose(spark, n=80):
+    """Common words, words of a topic and words found once."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(n):
+        words = [
+            f"common{rng.integers(4)}" if x < 0.5 else f"topic{i % 4}x{rng.integers(6)}" if x < 0.7 else f"rare{rng.integers(3000)}"
+            for x in rng.random(30)
+        ]
+        rows.append((i, i % 4 - 1, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id bigint, topic_id int, text string").repartition(4)
+
+
+def test_runs_ruled_out_change_no_mix(spark, monkeypatch):
+    docs = _prose(spark)
+    weights = topics.c_tf_idf(topics.term_counts(docs)).localCheckpoint()
+    # the model does not know all words of the documents
+    part = weights.filter("term <> 'common1' and not term like 'rare1%'").localCheckpoint()
+    for known in (weights, part):
+        mixes = []
+        for most in (1 << 20, 40, 0):
+            monkeypatch.setattr(topics, "FREQUENT", most)
+            mix = topics.approximate_distribution(docs, known)
+            mixes.append({(r["doc_id"], r["topic_id"]): r["probability"] for r in mix.collect()})
+        assert len(mixes[0]) > 40
+        assert mixes[1] == pytest.approx(mixes[0]) and mixes[2] == pytest.approx(mixes[0])
+    assert topics.approximate_distribution(docs, weights.filter("topic_id = -1")).count() == 0
+
+
+def test_few_terms_of_the_mix_are_looked_up(spark, monkeypatch):
+    lone = spark.range(300).selectExpr("id + 1000 AS doc_id", "-1 AS topic_id", "concat_ws(' ', transform(sequence(1, 30), x -> concat('lone', id * 30 + x))) AS text")
+    docs = _prose(spark).unionByName(lone)
+    weights = topics.c_tf_idf(topics.term_counts(docs)).localCheckpoint()
+    asked, deal = [], parcels.deal
+
+    def kept(rows, keys, parts):
+        asked.append(rows.localCheckpoint())
+        return deal(asked[-1], keys, parts)
+
+    monkeypatch.setattr(parcels, "deal", kept)
+    mix = topics.approximate_distribution(docs, weights)
+    # before, every term of a block was
+    assert 0 < asked[0].count() < weights.select("term").distinct().count() / 2
+    assert not _shuffled(mix)

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trendloom import parcels
 from trendloom.functions import text
@@ -29,6 +30,7 @@ MIN_WINDOW_SIMILARITY = 0.1
 MIN_SIMILARITY = 0.15
 BLOCK_CHARS = 1 << 23  # of the documents whose terms are looked up together
 LEAST_CHARS = 1 << 17  # fewest, where there are as many
+FREQUENT = 1 << 20  # rows of terms that every task of the topic mix has
 COUNT_BYTES = 1 << 23  # of the words whose terms are counted together
 CELLS = 1 << 21  # of terms and topics in one matrix
 # sorted terms are stored by what they share with the one before
@@ -322,7 +324,8 @@ def _in_blocks(docs: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, li
     """
     spark = docs.sparkSession
     worded = settle(
-        docs.select(*keys, "doc_id", F.array_join(text.words(F.col("text")), " ").alias("words")).filter(F.col("words") != "")
+        docs.select(*keys, "doc_id", F.array_join(text.words(F.col("text")), " ").alias("words")).filter(F.col("words") != ""),
+        compression="zstd",
     )
     # a row per group
     sizes = worded.groupBy(*keys).agg(F.sum(F.length("words")).alias("_chars"))
@@ -347,11 +350,10 @@ def _block_terms(
     return blocks.select(*names, F.explode(F.array_distinct(terms)).alias("term")).distinct()
 
 
-def _found_terms(
-    rows: pa.Table, known: pa.Table, window: int | None, start: int, end: int, stop_words: Sequence[str]
-) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The terms of a block that ``known`` (term) holds, in order of document and first word:
-    documents, words of each, and per term its document, first word, last word and row in ``known``.
+def _occurred(
+    rows: pa.Table, window: int | None, start: int, end: int, stop_words: Sequence[str]
+) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The terms of a block: documents, words of each, and per term its document, first and last word and text.
 
     Rows with one doc_id are one document.
     """
@@ -367,7 +369,6 @@ def _found_terms(
     stops = pc.is_in(words, value_set=pa.array(list(stop_words), words.type))
     kept = np.nonzero(~stops.to_numpy(zero_copy_only=False))[0]
     line, place, words = line[kept], place[kept], words.take(pa.array(kept))
-    vocabulary = known["term"].combine_chunks()
     found = []
     for size in range(start, end + 1):
         first = np.arange(max(len(kept) - size + 1, 0))
@@ -376,19 +377,29 @@ def _found_terms(
         if size > 1 and window is not None:
             held &= place[last] - place[first] < window
         first, last = first[held], last[held]
-        if not len(first):
-            continue
         parts = [words.take(pa.array(first + i)) for i in range(size)]
         term = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type))
-        row = pc.fill_null(pc.index_in(term, value_set=vocabulary), -1).to_numpy()
-        known_row = row >= 0
-        first, last = first[known_row], last[known_row]
-        found.append((owner[line[first]], place[first], place[last], row[known_row].astype(np.int64)))
-    if not found:
-        return ids.dictionary, n, *(np.zeros(0, dtype=np.int64) for _ in range(4))
-    doc, p, q, term = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((p, doc))
-    return ids.dictionary, n, doc[order], p[order], q[order], term[order]
+        found.append((owner[line[first]], place[first], place[last], term))
+    return ids.dictionary, n, *(np.concatenate(x) for x in list(zip(*found))[:3]), pa.concat_arrays([f[3] for f in found])
+
+
+def _rows_of(term: pa.Array, known: pa.Table) -> np.ndarray:
+    """The row in ``known`` (term) of each term, -1 for others."""
+    row = pc.index_in(term, value_set=known["term"].combine_chunks().cast(term.type))
+    return pc.fill_null(row, -1).to_numpy().astype(np.int64)
+
+
+def _found_terms(
+    rows: pa.Table, known: pa.Table, window: int | None, start: int, end: int, stop_words: Sequence[str]
+) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of a block that ``known`` (term) holds, in order of document and first word:
+    documents, words of each, and per term its document, first word, last word and row in ``known``.
+    """
+    ids, n, doc, p, q, term = _occurred(rows, window, start, end, stop_words)
+    row = _rows_of(term, known)
+    held = np.nonzero(row >= 0)[0]
+    held = held[np.lexsort((p[held], doc[held]))]
+    return ids, n, doc[held], p[held], q[held], row[held]
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -398,13 +409,13 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _run_sums(
     p: np.ndarray, q: np.ndarray, term: np.ndarray, idf: np.ndarray, sizes: np.ndarray,
-    column: np.ndarray, share: np.ndarray, runs: int, topics: int, window: int, least: float,
+    column: np.ndarray, share: np.ndarray, worth: np.ndarray, topics: int, window: int, least: float,
 ) -> np.ndarray:
-    """Similarities of all runs of a document to each topic, summed from ``least`` on.
+    """Similarities of the runs of a document worth a look to each topic, summed from ``least`` on.
 
     Runs are taken in slices, so a long document needs no more memory than a short one.
     """
-    total = np.zeros(topics)
+    total, runs = np.zeros(topics), len(worth)
     weight = np.zeros(term.max() + 1)
     weight[term] = idf
     step = max(1, (1 << 21) // topics)
@@ -426,16 +437,95 @@ def _run_sums(
         key, count = np.unique(np.concatenate(keys), return_counts=True)
         run, word = key // len(weight), key % len(weight)
         length = np.sqrt(np.bincount(run, weights=(weight[word] * count) ** 2, minlength=high - low))
-        similar = dots.reshape(high - low, topics)[length > 0] / length[length > 0, None]
+        seen = worth[low:high] & (length > 0)
+        similar = dots.reshape(high - low, topics)[seen] / length[seen, None]
         total += np.where(similar >= least, similar, 0).sum(axis=0)
     return total
 
 
-def _mixer(window: int, least: float, strong: float, start: int, end: int, stop_words: Sequence[str]):
+def _frequent_terms(units: DataFrame, strong: float) -> tuple[pa.Table, float]:
+    """(term, idf, most) of the terms that are common or weigh much in a topic, ``most`` the largest
+    unit weight of each; and a bound on the unit weights of all other terms.
+
+    About ``FREQUENT`` rows of ``units`` (topic_id, term, idf, unit) of either kind are taken, so that they fit a task.
+    """
+    steps = [strong / q for q in (1, 4, 16)]
+    level = sum((F.coalesce(F.col("unit"), F.lit(0.0)) >= x).cast("int") for x in steps)
+    bins = units.groupBy(F.floor(F.col("idf") * 16).alias("bin"), level.alias("level")).agg(F.count("*").alias("n"))
+    # a few hundred bins
+    counts = [(r["bin"], r["level"], r["n"]) for r in bins.filter(F.col("bin").isNotNull()).collect()]
+    heavy = [sum(n for _, held, n in counts if held > i) for i in range(len(steps))]
+    bound = min((x for x, n in zip(steps, heavy) if n <= FREQUENT), default=None)
+    last, rows = None, 0
+    for low in sorted({b for b, _, _ in counts}):
+        rows += sum(n for b, _, n in counts if b == low)
+        if rows > FREQUENT:
+            break
+        last = low
+    wanted = F.lit(False)
+    if bound is not None:
+        wanted |= F.col("unit") >= bound
+    if last is not None:
+        wanted |= F.floor(F.col("idf") * 16) <= last
+    taken = units.filter(wanted).groupBy("term").agg(
+        F.first("idf").alias("idf"), F.coalesce(F.max("unit"), F.lit(0.0)).alias("most")
+    )
+    # a unit weight is 1 at most
+    return taken.toArrow(), 1.0 if bound is None else bound
+
+
+def _worth_a_look(
+    n: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, row: np.ndarray, frequent: pa.Table, bound: float,
+    window: int, least: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which runs of the documents may reach ``least`` for a topic, where the runs of each document
+    begin, and which terms lie in such a run.
+
+    With x the part of a term in a run and u its unit weight, the similarity is the sum of x u by the length of x. Frequent
+    terms give no more than the sum of x · most by the length of their own x, the m others no more than bound · √m.
+    """
+    runs = np.maximum(n - window + 1, 1)
+    starts = np.cumsum(runs) - runs
+    total = int(runs.sum())
+    # the first and last run of the document that hold a term
+    low, high = starts[doc] + np.maximum(q - window + 1, 0), starts[doc] + np.minimum(p, runs[doc] - 1)
+    common = row >= 0
+    idf, most = (frequent[c].to_numpy()[row[common]] for c in ("idf", "most"))
+
+    def summed(which: np.ndarray, values: np.ndarray) -> np.ndarray:
+        sums = np.zeros(total)
+        for step in range(window):
+            at = low[which] + step
+            held = at <= high[which]
+            sums += np.bincount(at[held], weights=values[held], minlength=total)
+        return sums
+
+    square, dot = summed(common, idf**2), summed(common, idf * most)
+    others = summed(~common, np.ones(int((~common).sum())))
+    best = np.divide(dot, np.sqrt(square), out=np.zeros(total), where=square > 0) + bound * np.sqrt(others)
+    # the margin covers rounding
+    worth = best >= least * (1 - 1e-9)
+    before = np.concatenate([[0], np.cumsum(worth)])
+    return worth, starts, before[np.maximum(high, low - 1) + 1] > before[low]
+
+
+def _mixer(
+    window: int, least: float, strong: float, start: int, end: int, stop_words: Sequence[str], frequent: pa.Table, bound: float,
+    kind: pa.DataType,
+):
     """For the documents of one block and its terms with their topics: the mix of each document."""
 
-    def mix(rows: pa.Table, known: pa.Table) -> pa.Table:
-        ids, n, doc, p, q, term = _found_terms(rows, known, window, start, end, stop_words)
+    def mix(rows: pa.Table, parcel: pa.Table) -> pa.Table:
+        if not parcel.num_rows:
+            return pa.table({"doc_id": rows["doc_id"].slice(0, 0), "topic_id": pa.array([], kind), "probability": pa.array([], pa.float64())})
+        known = parcels.unpacked(parcel["parcel"].to_pylist())
+        ids, n, doc, p, q, term = _occurred(rows, window, start, end, stop_words)
+        worth, begin, held = _worth_a_look(n, doc, p, q, _rows_of(term, frequent), frequent, bound, window, least)
+        doc, p, q, term = doc[held], p[held], q[held], term.filter(pa.array(held))
+        term = _rows_of(term, known)
+        order = np.nonzero(term >= 0)[0]
+        order = order[np.lexsort((p[order], doc[order]))]
+        doc, p, q, term = doc[order], p[order], q[order], term[order]
         lists, values = known["topics"].combine_chunks(), known["units"].combine_chunks()
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
         starts, unit, idf = np.cumsum(sizes) - sizes, values.flatten().to_numpy(), known["idf"].to_numpy()
@@ -457,7 +547,7 @@ def _mixer(window: int, least: float, strong: float, start: int, end: int, stop_
             share = _run_sums(
                 p[low:high], q[low:high], mine, weight, own[mine], at[taken][spread],
                 np.repeat(weight, own[mine]) * unit[cells][taken][spread],
-                max(int(n[doc[low]]) - window + 1, 1), len(candidates), window, least,
+                worth[begin[doc[low]] :][: max(int(n[doc[low]]) - window + 1, 1)], len(candidates), window, least,
             )
             kept = np.nonzero(share)[0]
             docs.append(np.full(len(kept), doc[low]))
@@ -475,6 +565,36 @@ def _mixer(window: int, least: float, strong: float, start: int, end: int, stop_
     return mix
 
 
+def _answers(wanted: pa.Table, held: pa.Table) -> pa.Table:
+    """(block, parcel): of the terms that each block asks for, (term, idf, topics, units) of those that are held."""
+    nothing = pa.table({"block": pa.array([], pa.int64()), "parcel": pa.array([], pa.binary())})
+    if not wanted.num_rows or not held.num_rows:
+        return nothing
+    wanted, held = (parcels.unpacked(x["parcel"].to_pylist()) for x in (wanted, held))
+    terms = wanted["term"].combine_chunks().unique()
+    row = _rows_of(held["term"].combine_chunks(), pa.table({"term": terms}))
+    order = np.nonzero(row >= 0)[0]
+    order = order[np.argsort(row[order], kind="stable")]
+    row, held = row[order], held.take(pa.array(order))
+    known, first = np.unique(row, return_index=True)
+    # a term that only outliers hold has no entries
+    entry = held["unit"].is_valid().to_numpy()
+    counts = np.bincount(row[entry], minlength=len(terms))[known]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    lists = {
+        c: pa.ListArray.from_arrays(offsets, held[v].filter(pa.array(entry)).combine_chunks()) for c, v in (("topics", "topic_id"), ("units", "unit"))
+    }
+    place = np.full(len(terms), -1)
+    place[known] = np.arange(len(known))
+    at = place[_rows_of(wanted["term"].combine_chunks(), pa.table({"term": terms}))]
+    found = np.nonzero(at >= 0)[0]
+    block, at = wanted["block"].to_numpy()[found], at[found]
+    answer = pa.table({"term": terms.take(pa.array(known)), "idf": held["idf"].take(pa.array(first)), **lists})
+    blocks, number = np.unique(block, return_inverse=True)
+    sent = [(int(blocks[i]), parcels.packed(answer.take(rows["at"].combine_chunks()))) for i, rows in parcels.dealt(pa.table({"at": at}), number)]
+    return pa.table({"block": pa.array([b for b, _ in sent], pa.int64()), "parcel": pa.array([x for _, x in sent], pa.binary())})
+
+
 def approximate_distribution(
     docs: DataFrame,
     weights: DataFrame,
@@ -492,33 +612,41 @@ def approximate_distribution(
     min / √m or more in the topic's unit vector, and a topic has at most m / min² such terms.
     These strong terms choose the topics for which a document is worked out.
 
-    Documents are dealt into blocks. Terms are looked up once per block by a join; a task then adds
-    up the runs of the documents of a block, one document after the other.
+    Documents are dealt into blocks. Every task has the frequent terms; they rule out most runs (``_worth_a_look``). The
+    terms of the others are looked up once per block, both sides in parcels; a task then adds up the runs of the
+    documents of a block, one document after the other.
     """
     most = sum(max(window - n + 1, 0) for n in range(start, end + 1))
     # the margin covers rounding
     strong = min_window_similarity / most**0.5 * (1 - 1e-9)
-    # a row per topic
-    proper = weights.filter(F.col("topic_id") != OUTLIER)
-    lengths = proper.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_length"))
-    entry = F.struct("topic_id", (F.col("weight") / F.col("_length")).alias("unit"))
-    # a term that only outliers hold has no entries, yet counts in the length of a run
-    entries = weights.join(lengths, "topic_id", "left").groupBy("term").agg(
-        F.first("idf").alias("idf"), F.collect_list(F.when(F.col("_length").isNotNull(), entry)).alias("entries")
+    lengths = _lengths(weights.filter(F.col("topic_id") != OUTLIER))
+    # a term that only outliers hold has no unit weight, yet counts in the length of a run
+    units = weights.join(lengths, "topic_id", "left").select(
+        "topic_id", "term", "idf", (F.col("weight") / F.col("_length")).alias("unit")
     )
+    frequent, bound = _frequent_terms(units, strong)
 
     # rows without a key have no document to belong to
     blocks, names = _in_blocks(docs.filter(F.col("doc_id").isNotNull()))
-    known = (
-        _block_terms(blocks, names, window, start, end, stop_words)
-        .join(entries, "term")
-        .select(*names, "term", "idf", F.col("entries.topic_id").alias("topics"), F.col("entries.unit").alias("units"))
-    )
+
+    def asked(rows: pa.Table) -> pa.Table:
+        _, n, doc, p, q, term = _occurred(rows, window, start, end, stop_words)
+        row = _rows_of(term, frequent)
+        held = _worth_a_look(n, doc, p, q, row, frequent, bound, window, min_window_similarity)[2]
+        term = term.filter(pa.array(held)).unique()
+        return pa.table({"block": pa.array(np.full(len(term), rows["block"][0].as_py()), pa.int64()), "term": term.take(pc.sort_indices(term))})
+
+    parts = parcels.parts_for(docs.sparkSession)
+    wanted = parcels.deal(blocks.groupBy(*names).applyInArrow(asked, "block bigint, term string"), ["term"], parts)
+    held = parcels.deal(units, ["term"], parts)
+    answers = wanted.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(_answers, "block bigint, parcel binary")
     kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("doc_id", docs), ("topic_id", weights))}
-    # renamed, as both sides come from one table
-    return blocks.groupBy(*names).cogroup(known.toDF(*known.columns).groupBy(*names)).applyInArrow(
-        _mixer(window, min_window_similarity, strong, start, end, stop_words),
-        f"doc_id {kinds['doc_id']}, topic_id {kinds['topic_id']}, probability double",
+    mix = _mixer(
+        window, min_window_similarity, strong, start, end, stop_words, frequent, bound,
+        to_arrow_type(weights.schema["topic_id"].dataType),
+    )
+    return blocks.groupBy(*names).cogroup(answers.groupBy(*names)).applyInArrow(
+        mix, f"doc_id {kinds['doc_id']}, topic_id {kinds['topic_id']}, probability double"
     )
 
 

@@ -25,10 +25,11 @@ def parts_for(spark: SparkSession) -> int:
 
 
 def packed(rows: pa.Table) -> bytes:
-    """Texts by what they share with the one before, numbers with a fraction by their distinct values."""
+    """Texts by what they share with the one before, lists and numbers with a fraction by their distinct values."""
     flat = {f.name: f.type for f in rows.schema}
     texts = {n: "DELTA_BYTE_ARRAY" for n, t in flat.items() if pa.types.is_string(t) or pa.types.is_large_string(t)}
     values = [n for n, t in flat.items() if pa.types.is_floating(t)]
+    values += [f"{n}.list.element" for n, t in flat.items() if pa.types.is_list(t)]
     sink = io.BytesIO()
     pq.write_table(rows, sink, compression="zstd", use_dictionary=values, column_encoding=texts or None, write_statistics=False)
     return sink.getvalue()
