@@ -114,3 +114,12 @@ def test_few_terms_of_the_mix_are_looked_up(spark, monkeypatch):
     # before, every term of a block was
     assert 0 < asked[0].count() < weights.select("term").distinct().count() / 2
     assert not _shuffled(mix)
+
+
+def test_terms_of_closest_documents_travel_in_parcels(spark):
+    docs = _prose(spark)
+    weights = topics.c_tf_idf(topics.term_counts(docs)).localCheckpoint()
+    close = topics.representative_documents(docs, weights, 2)
+    assert not _shuffled(close)
+    assert close.count() == 2 * 4
+    assert topics.representative_documents(docs, weights.filter("topic_id = 2"), 2).count() == 2

@@ -289,32 +289,6 @@ def maximal_merges(tree: DataFrame, distance: float) -> DataFrame:
     return close.join(inner, "parent_id", "left_anti").select(*tree.columns)
 
 
-def _occurrences(words: Column, window: int | None, start: int, end: int, stop_words: Sequence[str]) -> Column:
-    """Terms of a text, as far as a run of ``window`` words holds them.
-
-    Stop words take a place in the text but in no term.
-    """
-    placed = F.filter(
-        F.transform(words, lambda w, i: F.struct(i.alias("p"), i.alias("q"), w.alias("term"))),
-        lambda w: ~w["term"].isin(list(stop_words)),
-    )
-    found, run = [], placed
-    for size in range(1, end + 1):
-        if size > 1:
-            longer = F.zip_with(
-                run,
-                F.slice(placed, size, F.size(placed)),
-                lambda a, b: F.struct(
-                    a["p"].alias("p"), b["q"].alias("q"), F.concat(a["term"], F.lit(" "), b["term"]).alias("term")
-                ),
-            )
-            run = F.filter(longer, lambda x: x["term"].isNotNull())
-        if size >= start:
-            short = size > 1 and window is not None
-            found.append(F.filter(run, lambda x: x["q"] - x["p"] < window) if short else run)
-    return F.transform(F.concat(*found), lambda x: x["term"])
-
-
 def _in_blocks(docs: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """(keys, block, doc_id, words) with words joined by spaces, and the columns that name a block.
 
@@ -345,9 +319,15 @@ def _in_blocks(docs: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, li
 def _block_terms(
     blocks: DataFrame, names: Sequence[str], window: int | None, start: int, end: int, stop_words: Sequence[str]
 ) -> DataFrame:
-    """(names, term): the distinct terms of each block, found where the block lies."""
-    terms = _occurrences(F.split("words", " "), window, start, end, stop_words)
-    return blocks.select(*names, F.explode(F.array_distinct(terms)).alias("term")).distinct()
+    """(names, term): the distinct terms of each block in order, found where the block lies."""
+
+    def distinct(rows: pa.Table) -> pa.Table:
+        term = _occurred(rows, window, start, end, stop_words)[5].unique()
+        named = {c: pa.array([rows[c][0].as_py()] * len(term), rows.schema.field(c).type) for c in names}
+        return pa.table(named | {"term": term.take(pc.sort_indices(term))})
+
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in names)
+    return blocks.groupBy(*names).applyInArrow(distinct, f"{kinds}, term string")
 
 
 def _occurred(
@@ -684,17 +664,41 @@ def representative_documents(
 ) -> DataFrame:
     """(topic_id, doc_id, similarity): the ``n`` documents of each topic closest to its terms.
 
-    Terms are looked up once per block of documents of a topic.
+    Terms are looked up once per block of documents of a topic, both sides in parcels.
     """
     blocks, names = _in_blocks(docs.filter(F.col("topic_id").isNotNull()), ["topic_id"])
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "topic_id")}
+    topic_kind = to_arrow_type(docs.schema["topic_id"].dataType)
+
+    def answers(wanted: pa.Table, held: pa.Table) -> pa.Table:
+        """Of the terms that each block asks for, (term, idf, weight) of those its topic holds."""
+        sent = []
+        if wanted.num_rows and held.num_rows:
+            wanted, held = (parcels.unpacked(x["parcel"].to_pylist()) for x in (wanted, held))
+            found = wanted.join(held, ["topic_id", "term"], join_type="inner", use_threads=False).sort_by([("term", "ascending")]).combine_chunks()
+            topic = found["topic_id"].combine_chunks().dictionary_encode()
+            # blocks of a topic are numbered from 0
+            width = (pc.max(found["block"]).as_py() or 0) + 1
+            number = topic.indices.to_numpy().astype(np.int64) * width + found["block"].to_numpy()
+            rows = found.select(["term", "idf", "weight"])
+            sent = [(topic.dictionary[i // width].as_py(), i % width, parcels.packed(x)) for i, x in parcels.dealt(rows, number)]
+        types = {"topic_id": topic_kind, "block": pa.int64(), "parcel": pa.binary()}
+        return pa.table({c: pa.array([x[i] for x in sent], t) for i, (c, t) in enumerate(types.items())})
+
+    # terms of a topic meet in one part, both sides in parcels
+    parts = parcels.parts_for(docs.sparkSession)
+    wanted = _block_terms(blocks, names, None, start, end, stop_words)
+    held = weights.select(F.col("topic_id").cast(kinds["topic_id"]).alias("topic_id"), "term", "idf", "weight")
     known = (
-        _block_terms(blocks, names, None, start, end, stop_words)
-        .join(weights.select("topic_id", "term", "idf", "weight"), ["topic_id", "term"])
-        .select(*names, "term", "idf", "weight")
+        parcels.deal(wanted, ["topic_id", "term"], parts).groupBy("part")
+        .cogroup(parcels.deal(held, ["topic_id", "term"], parts).groupBy("part"))
+        .applyInArrow(answers, f"topic_id {kinds['topic_id']}, block bigint, parcel binary")
     )
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "topic_id")}
 
-    def products(rows: pa.Table, terms: pa.Table) -> pa.Table:
+    def products(rows: pa.Table, parcel: pa.Table) -> pa.Table:
+        if not parcel.num_rows:
+            return pa.table({"topic_id": pa.array([], topic_kind), "doc_id": rows["doc_id"].slice(0, 0), "_dot": pa.array([], pa.float64())})
+        terms = parcels.unpacked(parcel["parcel"].to_pylist())
         ids, _, doc, _, _, term = _found_terms(rows, terms, None, start, end, stop_words)
         idf, weight = terms["idf"].to_numpy(), terms["weight"].to_numpy()
         key, count = np.unique(doc.astype(np.int64) * max(len(idf), 1) + term, return_counts=True)
@@ -711,10 +715,10 @@ def representative_documents(
             }
         )
 
-    dots = blocks.groupBy(*names).cogroup(known.toDF(*known.columns).groupBy(*names)).applyInArrow(
+    dots = blocks.groupBy(*names).cogroup(known.groupBy(*names)).applyInArrow(
         products, f"topic_id {kinds['topic_id']}, doc_id {kinds['doc_id']}, _dot double"
     )
-    lengths = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_length"))
+    lengths = _lengths(weights)
     # rounded, so that copies tie whatever the order of their sums
     scored = dots.join(lengths, "topic_id").select(
         "topic_id", "doc_id", F.round(F.col("_dot") / F.col("_length"), 9).alias("similarity")
