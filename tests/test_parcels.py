@@ -123,3 +123,12 @@ def test_terms_of_closest_documents_travel_in_parcels(spark):
     assert not _shuffled(close)
     assert close.count() == 2 * 4
     assert topics.representative_documents(docs, weights.filter("topic_id = 2"), 2).count() == 2
+
+
+def test_labels_leave_the_texts_where_they_are(spark):
+    docs = _prose(spark).localCheckpoint()
+    weights = topics.c_tf_idf(topics.term_counts(docs)).localCheckpoint()
+    labels = topics.label_documents(docs, weights, "[DOCUMENTS][KEYWORDS]", 2, 3)
+    plan = labels._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x]
+    assert labels.count() == 4

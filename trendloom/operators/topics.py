@@ -730,7 +730,8 @@ def label_documents(
     docs: DataFrame, weights: DataFrame, prompt: str, n: int = 5, n_words: int = 10
 ) -> DataFrame:
     """(topic_id, prompt): the prompt with [DOCUMENTS] and [KEYWORDS] filled in per topic."""
-    closest = representative_documents(docs, weights, n).join(docs.select("doc_id", "text"), "doc_id")
+    # a few rows per topic, settled so that the texts stay where they are
+    closest = settle(representative_documents(docs, weights, n)).join(docs.select("doc_id", "text"), "doc_id")
     order = F.struct((-F.col("similarity")).alias("s"), "doc_id", "text")
     texts = closest.groupBy("topic_id").agg(F.array_sort(F.collect_list(order)).alias("_d"))
     listing = F.array_join(F.transform("_d", lambda d: F.concat(F.lit("- "), d["text"], F.lit("\n"))), "")
